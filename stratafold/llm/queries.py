@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratafold import storage
-from stratafold.llm import clusters, nearest, seen
+from stratafold.llm import clusters, nearest, packing, seen, spans, tokens
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -80,10 +80,55 @@ def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
     return found.select("cluster_id", names[F.col("field_no")].alias("field_name"), "size", "medoid", "typical", "mean_cosine")
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of every text."""
+    return tokens.encode(_table(spark, d, "documents"))
+
+
+def p6_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """The number of ids of every text."""
+    return tokens.count_tokens(_table(spark, d, "documents"))
+
+
+def _packed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    kinds = _table(spark, d, "container_sizes")
+    sizes = storage.materialise(tokens.count_tokens(_table(spark, d, "documents")), "packing-sizes")
+    return packing.pack(sizes, kinds), kinds
+
+
+def p7_assignments(spark: SparkSession, d: str) -> DataFrame:
+    """The containers of every document, for every kind of container."""
+    return _packed(spark, d)[0]
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How well the containers of each kind are filled."""
+    return packing.fill_report(*_packed(spark, d))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every maximal shared stretch of every text."""
+    return spans.shared_spans(_table(spark, d, "documents"))
+
+
+def p8_parts(spark: SparkSession, d: str) -> DataFrame:
+    """How much of every text is shared."""
+    documents = _table(spark, d, "documents")
+    return spans.shared_parts(documents, spans.shared_spans(documents))
+
+
+def p8_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Long lines that repeat an earlier one."""
+    return spans.duplicate_lines(_table(spark, d, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_judged": p1_judged, "p1_error_rate": p1_error_rate,
     "p2_found": p2_found, "p2_recall": p2_recall, "p2_nodes": p2_nodes,
     "p3_found": p3_found, "p3_clusters": p3_clusters,
+    "p6_ids": p6_ids, "p6_lengths": p6_lengths,
+    "p7_assignments": p7_assignments, "p7_fill": p7_fill,
+    "p8_found": p8_found, "p8_parts": p8_parts, "p8_lines": p8_lines,
 }
 
 _P1 = """
@@ -129,4 +174,13 @@ links AS MATERIALIZED (
     WHERE {_COSINE.format("a.v", "b.v")} >= 0.87),
 reached AS (SELECT a AS node, b AS other FROM links UNION SELECT node, b FROM reached JOIN links ON other = a)
 SELECT least(node, min(other)) AS cluster_id, node AS node_id FROM reached GROUP BY node""",
+    "p8_found": """
+WITH windows AS (
+    SELECT doc_id, s, substr(text, s + 1, 100) AS w
+    FROM (SELECT doc_id, text, unnest(range(0, length(text) - 99)) AS s FROM documents WHERE length(text) >= 100)),
+shared AS (SELECT w FROM windows GROUP BY w HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT doc_id, s FROM windows SEMI JOIN shared USING (w)),
+marked AS (SELECT doc_id, s, coalesce(s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) > 100, true)::INT AS fresh FROM hits),
+runs AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM marked)
+SELECT doc_id, min(s) AS span_start, max(s) + 100 AS span_end FROM runs GROUP BY doc_id, run""",
 }
