@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from stratafold.plans import problems
+from stratafold.plans import problems, relational, search
 
-QUERIES = dict(problems.QUERIES)
-ORACLES = dict(problems.ORACLES)
-flagship = problems.p5_found
+_MODULES = (problems, relational, search)
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLES = {name: text for m in _MODULES for name, text in m.ORACLES.items()}
+flagship = relational.QUERIES["q28_complex"]
