@@ -85,6 +85,10 @@ def json_problem(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(problem, na_action="ignore").astype(object)
 
 
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
 def documents_from_json(df: DataFrame, column: str, schema: TableSchema, strict: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """The fields of a schema from a column of JSON objects, with ``keep`` beside them.
 
@@ -97,7 +101,7 @@ def documents_from_json(df: DataFrame, column: str, schema: TableSchema, strict:
     for f in schema.fields:
         value = F.col("_doc").getField(f.name)
         if f.type == Primitive("TIMESTAMP"):
-            value = F.to_utc_timestamp(F.timestamp_millis(value), F.current_timezone()).cast("timestamp_ntz")
+            value = _epoch() + F.make_dt_interval(secs=value.cast("decimal(21,3)") / 1000)
         fields.append(value.alias(f.name))
     return df.select(*keep, row).select(*keep, *fields)
 
@@ -106,7 +110,9 @@ def _writable(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         return F.when(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), value)
     if isinstance(kind, T.TimestampNTZType):
-        return F.timestampdiff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), value)
+        since = value - _epoch()
+        days, rest = F.date_part(F.lit("DAY"), since).cast("bigint"), [F.date_part(F.lit(u), since) for u in ("HOUR", "MINUTE", "SECOND")]
+        return ((days * 24 + rest[0]) * 60 + rest[1]) * 60_000 + (rest[2] * 1000).cast("bigint")
     if isinstance(kind, T.ArrayType):
         return F.transform(value, lambda x: _writable(x, kind.elementType))
     if isinstance(kind, T.StructType):
