@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from stratafold import storage
 from stratafold.llm.polytope import units_of
-from stratafold.llm.vectors import CHUNK, Cells, chunk_of, cosines, crowded, field_dimensions, grouped, runs, table_matrix, usable
+from stratafold.llm.vectors import CHUNK, Cells, chunk_of, cosines, crowded, field_dimensions, grouped, partitions_for, runs, table_matrix, usable
 
 TABLES, TAIL, PROBES = 5, 16, 8
 #: Least cosine of a query's last answer for which the cells are relied on.
@@ -65,10 +65,10 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _best(ids[is_query], extra[is_query], vec[is_query], ids[~is_query], vec[~is_query])
 
 
-def _run(nodes: DataFrame, queries: DataFrame) -> DataFrame:
+def _run(nodes: DataFrame, queries: DataFrame, partitions: int) -> DataFrame:
     """Search of rows (cell, chunk, round, id, extra, vec), nodes and queries of a group together."""
     both = nodes.withColumn("is_query", F.lit(False)).unionByName(queries.withColumn("is_query", F.lit(True)))
-    return grouped(both, ["cell", "chunk", "round"], []).mapInArrow(_search, _FOUND)
+    return grouped(both, ["cell", "chunk", "round"], partitions).mapInArrow(_search, _FOUND)
 
 
 def _leaders(found: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def by_cells(nodes: DataFrame, queries: DataFrame, dims: dict[str, int]) -> Data
     chunks = storage.materialise(crowded(index.placed(nodes, with_vector=False)), "nearest-crowded")
     placed = index.placed(nodes).join(chunks, "cell", "left").withColumn("chunk", F.coalesce(chunk_of(F.col("id"), F.col("chunks")), F.lit(0))).drop("chunks")
     asked = look.placed(queries).join(chunks, "cell", "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1))).drop("chunks")
-    return _leaders(_run(placed.withColumn("round", F.lit(0)), asked.withColumn("round", F.lit(0))))
+    return _leaders(_run(placed.withColumn("round", F.lit(0)), asked.withColumn("round", F.lit(0)), partitions_for((nodes, TABLES), (queries, TABLES * PROBES))))
 
 
 def by_scan(nodes: DataFrame, queries: DataFrame) -> DataFrame:
@@ -96,7 +96,9 @@ def by_scan(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     cell = F.col("field_no").cast("bigint").alias("cell")
     a = nodes.join(sizes, "field_no").select(cell, chunk_of(F.col("id"), F.col("node_blocks")).alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("round"), "id", "extra", "vec")
     b = queries.join(sizes, "field_no").select(cell, F.explode(F.sequence(F.lit(0), F.col("node_blocks") - 1)).alias("chunk"), chunk_of(F.col("id"), F.col("query_blocks")).alias("round"), "id", "extra", "vec")
-    return _leaders(_run(a, b))
+    # as many rows as there are fields
+    copies = sizes.agg(F.max("query_blocks"), F.max("node_blocks")).first()
+    return _leaders(_run(a, b, partitions_for((nodes, copies[0] or 1), (queries, copies[1] or 1))))
 
 
 def nearest(nodes: DataFrame, queries: DataFrame, dims: dict[str, int]) -> DataFrame:

@@ -96,7 +96,7 @@ def _packed(items: DataFrame, per_kind: DataFrame, stage: int) -> DataFrame:
     mark = F.xxhash64("doc_id", "piece", "token_count")
     shards = F.ceil(F.col("n") / SHARD_ITEMS).cast("bigint")
     sharded = items.join(per_kind, "container_kind").withColumn("mark", mark).withColumn("shard", F.pmod("mark", shards)).drop("n")
-    n = max(items.sparkSession.sparkContext.defaultParallelism, storage.spread(sharded, 4 << 20, 1))
+    n = max(items.sparkSession.sparkContext.defaultParallelism, storage.spread(items, 1 << 20, 1))
     return sharded.repartition(n, "container_kind", "shard").groupBy("container_kind", "shard").applyInPandas(_pack(stage), _PLACED)
 
 

@@ -229,7 +229,7 @@ def shared_spans(documents: DataFrame, least: int = LEAST, gram: int = GRAM, in_
     hot = storage.materialise(found.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > in_task).select("h"), "spans-hot")
     some_hot = not hot.isEmpty()
     usual = found.join(hot, "h", "left_anti") if some_hot else found
-    n = storage.spread(usual, 4 << 20)
+    n = storage.spread(found, 4 << 20)
     ranges = usual.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_compare(least), _RANGE)
     if some_hot:
         windows = storage.materialise(found.join(hot, "h", "left_semi").mapInArrow(_explode_windows(least), _WINDOW), "spans-windows")

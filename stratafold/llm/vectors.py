@@ -101,10 +101,15 @@ def chunk_of(identity: Column, chunks: Column) -> Column:
     return F.pmod(F.xxhash64(identity, F.lit(7)), chunks).cast("int")
 
 
-def grouped(df: DataFrame, keys: list[str], within: list[str], bytes_each: int = 24 << 20) -> DataFrame:
+def grouped(df: DataFrame, keys: list[str], partitions: int) -> DataFrame:
     """``df`` shuffled by ``keys`` and ordered, so that mapInArrow sees each group as one run of rows."""
-    n = storage.spread(df, bytes_each)
-    return df.repartition(n, *keys).sortWithinPartitions(*keys, *within)
+    return df.repartition(partitions, *keys).sortWithinPartitions(*keys)
+
+
+def partitions_for(*written: tuple[DataFrame, float], bytes_each: int = 24 << 20) -> int:
+    """Partitions for a shuffle that carries each written table so many times."""
+    usual = int(written[0][0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(usual, sum(storage.spread(df, bytes_each, 1, times) for df, times in written))
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
