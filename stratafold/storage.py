@@ -128,8 +128,15 @@ def plan_bytes(df: DataFrame) -> int:
     return min(size, 1 << 60)
 
 
-def spread(df: DataFrame, bytes_each: int, least: int | None = None) -> int:
-    """A partition count that keeps each partition of ``df`` near ``bytes_each``."""
+def spread(df: DataFrame, bytes_each: int, least: int | None = None, times: float = 1) -> int:
+    """A partition count that keeps the partitions of ``times`` as much as ``df`` near ``bytes_each``.
+
+    Meant for scans and written tables, whose size the optimizer knows; where it does not (it then says exabytes, and for
+    joins a product), the session's number of shuffle partitions holds.
+    """
     spark = df.sparkSession
-    floor = least if least is not None else int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return int(min(max(floor, -(-plan_bytes(df) // bytes_each), 1), 200_000))
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = plan_bytes(df)
+    if size >= 1 << 52:
+        return usual
+    return int(min(max(usual if least is None else least, -(-int(size * times) // bytes_each), 1), 100_000))
