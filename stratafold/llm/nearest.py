@@ -129,7 +129,7 @@ def load_queries(queries: DataFrame, dims: dict[str, int]) -> DataFrame:
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
-    """Share of the exact answer that was found, over all queries of ``exact``."""
+    """Share of the exact answer that was found, over all queries of ``exact``; null if nothing was asked."""
     hit = found.select("query_id", "node_id", F.lit(1).alias("hit"))
     both = exact.select("query_id", "node_id").join(hit, ["query_id", "node_id"], "left")
-    return both.agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("wanted"), F.coalesce(F.sum("hit"), F.lit(0)).alias("found")).withColumn("recall", F.col("found") / F.col("wanted"))
+    return both.agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("wanted"), F.coalesce(F.sum("hit"), F.lit(0)).alias("found")).withColumn("recall", F.try_divide("found", "wanted"))
