@@ -176,21 +176,15 @@ class OrderPreserving:
 
 
 def keyword_token(term: Column, field: str, keys: Keys) -> Column:
-    """Keyed hash (HMAC-SHA256) of a term of a field, in hexadecimal digits."""
-    key = keys.derived(field, "keyword")
-
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: hmac.new(key, t.encode(), hashlib.sha256).hexdigest(), na_action="ignore").astype(object)
-
-    return run(term)
+    """Keyed hash (HMAC-SHA256, put together from plain hashes) of a term of a field, in hexadecimal digits."""
+    key = keys.derived(field, "keyword").ljust(64, b"\0")
+    pad = lambda x: F.lit(bytes(k ^ x for k in key))
+    return F.sha2(F.concat(pad(0x5C), F.unhex(F.sha2(F.concat(pad(0x36), term.cast("binary")), 256))), 256)
 
 
 def keyword_index(df: DataFrame, key: str, field: str, keys: Keys) -> DataFrame:
-    """(token, key): the postings of a field with its terms hashed; each distinct term is hashed once."""
-    posted = text.postings(df, key, field)
-    hashed = posted.select("term").distinct().withColumn("token", keyword_token(F.col("term"), field, keys))
-    return posted.join(hashed, "term").select("token", key)
+    """(token, key): the postings of a field with its terms hashed."""
+    return text.postings(df, key, field).select(keyword_token(F.col("term"), field, keys).alias("token"), key)
 
 
 def keyword_search(index: DataFrame, term: str, field: str, keys: Keys) -> DataFrame:
