@@ -85,7 +85,7 @@ class InvertedFile:
             raise ValueError(f"unknown metric {metric!r}")
         self.key, self.field, self.metric = key, field, metric
         rows = df.where(F.col(field).isNotNull()).select(key, field).orderBy(key).limit(clusters).collect()
-        self.centroids = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+        self.centroids = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), len(rows[0][1]) if rows else 1)
         self.clusters = len(rows)
         self.lists = df.where(F.col(field).isNotNull()).withColumn("centroid", self._nearest(F.col(field)))
 
