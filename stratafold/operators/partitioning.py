@@ -82,6 +82,14 @@ def gathered(df: DataFrame, column: str, key: str, limit: int) -> DataFrame:
     return capped_per_partition(df, column, key, limit).orderBy(key).limit(limit)
 
 
+def gathered_by_score(parts: Sequence[DataFrame], key: str, score: str, limit: int) -> DataFrame:
+    """The best ``limit`` rows of all parts, each of which gave up to that many: greatest score first, NaN last, ties by key."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.orderBy(F.isnan(score).asc(), F.col(score).desc_nulls_last(), key).limit(limit)
+
+
 def ordered_merge(parts: Sequence[DataFrame], key: str) -> DataFrame:
     """All rows of all parts in key order; a key that several parts have stays as often."""
     out = parts[0]
@@ -128,6 +136,15 @@ def owners(identity: Column, nodes: Sequence[str], replicas: int = 1) -> Column:
     return rank(identity.cast("string"))
 
 
+def owners_of_range(space: RangePartitions, prefix: str, low: Any, high: Any, nodes: Sequence[str]) -> dict[int, str]:
+    """The owner of each partition that [low, high) touches; partitions are named ``prefix`` and id."""
+    out = {}
+    for i in space.overlapping(low, high):
+        weights = [(int(_weights([f"{prefix}{i}"], n)[0]), n) for n in sorted(set(nodes))]
+        out[i] = max(weights, key=lambda w: w[0])[1]
+    return out
+
+
 def reassigned(df: DataFrame, identity: str, before: Sequence[str], after: Sequence[str]) -> DataFrame:
     """The ids whose owner differs between two sets of nodes, with both owners."""
     both = df.select(identity).distinct().select(identity, owners(F.col(identity), before)[0].alias("owner_before"), owners(F.col(identity), after)[0].alias("owner_after"))

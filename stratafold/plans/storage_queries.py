@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stratafold import crypto, storage
 from stratafold.engine import Engine
-from stratafold.operators import partitioning, upsert, versions
+from stratafold.operators import fulltext, partitioning, upsert, versions
 from stratafold.plans import problems
 from stratafold.plans.relational import table
 from stratafold.schema import FLOAT64, INT32, INT64, STRING, TIMESTAMP, ArrayOf, Field, ObjectOf, TableSchema, of_dataframe
@@ -253,6 +253,38 @@ def q76_evolved_schema(spark: SparkSession, d: str) -> DataFrame:
     return schema.read(rows)
 
 
+def q77_term_index(spark: SparkSession, d: str) -> DataFrame:
+    """Inverted index of whole numbers: how many orders each customer has."""
+    index = fulltext.term_index(table(spark, d, "orders"), "o_orderkey", "o_custkey")
+    return index.groupBy("term").agg(F.count("*").alias("n_rows"))
+
+
+def q78_boolean_search(spark: SparkSession, d: str) -> DataFrame:
+    """(batch or segment) and not cluster, over indexed text."""
+    index = fulltext.TextIndex.build(table(spark, d, "documents"), "doc_id", "text")
+    t = lambda w: fulltext.Term("text", w)
+    return index.search((t("batch") | t("segment")) - t("cluster"))
+
+
+def q79_positions(spark: SparkSession, d: str) -> DataFrame:
+    """First and last position of each word of each document."""
+    p = fulltext.positions(table(spark, d, "documents"), "doc_id", "text")
+    return p.select("doc_id", "term", F.size("positions").cast("bigint").alias("n"), F.element_at("positions", 1).cast("bigint").alias("first_at"), F.element_at("positions", -1).cast("bigint").alias("last_at"))
+
+
+def q80_gathered_by_score(spark: SparkSession, d: str) -> DataFrame:
+    """The best of what the ranges of a key space give."""
+    o = _ranges().assigned(_orders(spark, d), "o_orderkey")
+    parts = [o.where(F.col("partition_id") == i).orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(15).select("o_orderkey", "o_totalprice") for i in _ranges().ids]
+    return partitioning.gathered_by_score(parts, "o_orderkey", "o_totalprice", 15)
+
+
+def q81_json_equality(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    other = F.concat(F.lit('{ "k": '), F.get_json_object("props", "$.k"), F.lit(".0 }"))
+    return e.select("event_id", jsondocs.json_equal(F.col("props"), other).alias("same"))
+
+
 QUERIES = {name: query for name, query in globals().items() if name.startswith("q") and name[1:3].isdigit()}
 
 _LOG = "log AS (SELECT user_id AS _key, event_id AS _seq, CASE WHEN event_type = 'error' THEN 'D' ELSE 'P' END AS _op, event_type, value FROM events)"
@@ -263,6 +295,10 @@ _AFTER = f"""{_NEW}, after AS (
            CASE WHEN c_custkey % 10 = 0 THEN c_mktsegment ELSE coalesce(seg, c_mktsegment) END AS c_mktsegment
     FROM customer LEFT JOIN new ON c_custkey = _key WHERE c_mktsegment <> 'BUILDING')"""
 _ROUTE = "CASE WHEN o_orderkey < 0 THEN NULL WHEN o_orderkey < 1000 THEN 10 WHEN o_orderkey < 4000 THEN 20 WHEN o_orderkey < 9000 THEN 30 ELSE 40 END"
+_WORDS = r"""
+WITH words AS (
+    SELECT doc_id, nth, lower(regexp_replace(w, '[^\p{L}\p{N}]', '', 'g')) AS term
+    FROM (SELECT doc_id, unnest(l) AS w, unnest(range(len(l))) AS nth FROM (SELECT doc_id, regexp_split_to_array(text, '\s+') AS l FROM documents)))"""
 _TEXT = r"""
 WITH words AS (SELECT doc_id, lower(regexp_replace(w, '[^\p{L}\p{N}]', '', 'g')) AS term FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\s+')) AS w FROM documents))
 SELECT DISTINCT doc_id FROM words WHERE term = 'payload'"""
@@ -300,5 +336,10 @@ WHERE {_PUTS} AND json_valid(put_value) AND json_type(put_value, '$.embedding')
     "q73_rekey": "SELECT c_custkey, 2 AS key_version, c_name, c_mktsegment FROM customer",
     "q74_streamed_feed": problems.ORACLES["p5_found"],
     "q75_byte_lengths": "SELECT _key, octet_length(encode(name)) AS n_bytes FROM users WHERE octet_length(encode(name)) > 12",
+    "q77_term_index": "SELECT o_custkey AS term, count(*) AS n_rows FROM orders GROUP BY 1",
+    "q78_boolean_search": f"{_WORDS} SELECT doc_id FROM words GROUP BY doc_id HAVING bool_or(term IN ('batch', 'segment')) AND NOT bool_or(term = 'cluster')",
+    "q79_positions": f"{_WORDS}, kept AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY nth) AS place FROM words WHERE term <> '') SELECT doc_id, term, count(*) AS n, min(place) AS first_at, max(place) AS last_at FROM kept GROUP BY ALL",
+    "q80_gathered_by_score": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15",
+    "q81_json_equality": "SELECT event_id, len(json_keys(props)) = 1 AS same FROM events",
     "q76_evolved_schema": "SELECT c_custkey AS _key, c_name, NULL::INT AS c_rank FROM customer",
 }

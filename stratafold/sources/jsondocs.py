@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from decimal import Decimal
 from typing import Any
 
 import pandas as pd
@@ -155,6 +156,31 @@ def write_lines(df: DataFrame, schema: TableSchema, path: str) -> None:
     df.select(documents_to_json(df, schema).alias("value")).write.text(path)
 
 
+@F.pandas_udf(T.BooleanType())
+def json_equal(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Whether two texts hold the same JSON value: numbers by value, members in any order. Null where one is null or no JSON."""
+
+    def read(text: str | None):
+        return json.loads(text, parse_float=Decimal, parse_int=Decimal, object_pairs_hook=_pairs, parse_constant=_constant)
+
+    def same(x: Any, y: Any) -> bool:
+        if isinstance(x, bool) or isinstance(y, bool) or type(x) is not type(y):
+            return x is y
+        if isinstance(x, dict):
+            return x.keys() == y.keys() and all(same(v, y[k]) for k, v in x.items())
+        if isinstance(x, list):
+            return len(x) == len(y) and all(map(same, x, y))
+        return x == y
+
+    def one(x: str | None, y: str | None) -> bool | None:
+        try:
+            return None if x is None or y is None else same(read(x), read(y))
+        except ValueError:
+            return None
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
+
+
 def member(column: Column, name: str) -> Column:
     """The value of a key of a JSON object as text; null where it is absent."""
     return F.get_json_object(column, f"$['{name}']")

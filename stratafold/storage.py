@@ -23,6 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if (set_there := spark.sparkContext.getCheckpointDir()) is not None:
+        return set_there.rstrip("/")
     if _own_folder is None:
         folder = tempfile.mkdtemp(prefix="stratafold-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)

@@ -93,13 +93,16 @@ class Table:
 
     def log(self) -> DataFrame:
         """All changes still kept: the base snapshot and the later batches."""
+        return self._read()
+
+    def _read(self, **options: str) -> DataFrame:
         facts = self._facts()
         paths = [f"{self.path}/log/batch-{n:012d}" for n in self._batches() if n > facts["base"]]
         if facts["base"]:
             paths.append(f"{self.path}/base-{facts['base']:012d}")
         if not paths:
             return self.spark.createDataFrame([], self._log_type)
-        return self.spark.read.schema(self._log_type).parquet(*paths)
+        return self.spark.read.schema(self._log_type).options(**options).parquet(*paths)
 
     def current(self) -> DataFrame:
         """The live rows: ``_key`` and the schema's fields."""
@@ -179,13 +182,21 @@ class Table:
     def sql(self, statement: str, parameters: Sequence[Any] = (), strict: bool = True) -> DataFrame:
         return translator.execute(statement, self.current(), self.schema, parameters, strict)
 
+    def recovered(self) -> DataFrame:
+        """The live rows of what can still be read, damaged files passed over; other reads fail on damage."""
+        return versions.newest(self._read(ignoreCorruptFiles="true")).drop("_seq", "_op")
+
     def changes_since(self, sequence: int) -> DataFrame:
         """The changes after a batch in the order of the log, for replay."""
         return self.log().where(F.col("_seq") > sequence).orderBy("_seq", "_key")
 
     # -- maintenance
-    def compact(self, rows_per_file: int = 4_000_000) -> int:
-        """Rewrite everything so far as a snapshot without deleted keys, ordered by key; older folders are dropped."""
+    def compact(self, rows_per_file: int = 4_000_000, compression: str = "zstd", bloom: tuple[str, ...] = ("_key",)) -> int:
+        """Rewrite everything so far as a snapshot without deleted keys, ordered by key; older folders are dropped.
+
+        ``compression`` is none, gzip (deflate) or zstd. Row groups carry Bloom filters of the columns in ``bloom``, so that a
+        point read passes over those that cannot hold its key.
+        """
         done = self._batches()
         top = max([self._facts()["base"], *done])
         if top == self._facts()["base"]:
@@ -193,7 +204,9 @@ class Table:
         base = f"{self.path}/base-{top:012d}"
         rows = versions.newest(self.log())
         n = storage.spread(rows, 128 << 20, 1)
-        rows.repartitionByRange(n, "_key").sortWithinPartitions("_key").write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(base)
+        rows.repartitionByRange(n, "_key").sortWithinPartitions("_key").write.mode("overwrite").options(
+            maxRecordsPerFile=rows_per_file, compression=compression, **{f"parquet.bloom.filter.enabled#{c}": "true" for c in bloom}
+        ).parquet(base)
         before = self._facts()["base"]
         storage.write_text(self.spark, f"{self.path}/CURRENT", json.dumps({"base": top}))
         for n in done:
