@@ -6,6 +6,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +41,34 @@ def euclidean(a: Column, b: Column | Sequence[float]) -> Column:
     return F.sqrt(_sum(F.transform(F.zip_with(a, _vector(b), lambda x, y: x.cast("double") - y), lambda d: d * d)))
 
 
+def score_fixed(v: Column, query: Sequence[float], metric: str) -> Column:
+    """Similarity to one fixed vector, computed for whole Arrow batches at once; null for vectors of another length, with
+    null or non-finite elements, and for null."""
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}")
+    q = np.asarray(query, dtype=np.float64)
+    qq = float((q * q).sum())
+
+    @F.arrow_udf(T.DoubleType())
+    def run(a: pa.Array) -> pa.Array:
+        out = np.full(len(a), np.nan)
+        fit = np.flatnonzero(np.nan_to_num(pc.list_value_length(a).to_numpy(zero_copy_only=False), nan=-1) == len(q))
+        if len(fit) and len(q):
+            x = a.take(pa.array(fit)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(fit), len(q))
+            with np.errstate(all="ignore"):
+                if metric == "euclidean":
+                    s = -np.sqrt(((x - q) ** 2).sum(axis=1))
+                else:
+                    s = x @ q
+                    if metric == "cosine":
+                        size = np.sqrt((x * x).sum(axis=1) * qq)
+                        s = np.where(size == 0, 0.0, s / np.where(size == 0, 1.0, size))
+                out[fit] = np.where(np.isfinite(x).all(axis=1), s, np.nan)
+        return pa.array(out, mask=np.isnan(out))
+
+    return run(v)
+
+
 def score(a: Column, b: Column | Sequence[float], metric: str) -> Column:
     """Similarity: the greater, the nearer. Euclidean distance counts negated."""
     if metric not in METRICS:
@@ -52,6 +82,12 @@ def distance(a: Column, b: Column | Sequence[float], metric: str) -> Column:
     return 1 - s if metric == "cosine" else -s
 
 
+def distance_fixed(v: Column, query: Sequence[float], metric: str) -> Column:
+    """``distance`` to one fixed vector."""
+    s = score_fixed(v, query, metric)
+    return 1 - s if metric == "cosine" else -s
+
+
 def usable(v: Column, dimensions: int) -> Column:
     """Whether a vector has the right length and only finite elements; false for null."""
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -68,8 +104,8 @@ def half_precision(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def top_k(df: DataFrame, key: str, field: str, query: Sequence[float], k: int, metric: str = "cosine") -> DataFrame:
     """(key, score) of the ``k`` most similar rows by an exact scan; ties by key."""
-    scored = df.where(usable(F.col(field), len(query))).select(key, score(F.col(field), query, metric).alias("score"))
-    return scored.where(~F.isnan("score")).orderBy(F.col("score").desc(), key).limit(k)
+    scored = df.where(F.col(field).isNotNull()).select(key, score_fixed(F.col(field), query, metric).alias("score"))
+    return scored.where(F.col("score").isNotNull()).orderBy(F.col("score").desc(), key).limit(k)
 
 
 class InvertedFile:

@@ -99,7 +99,7 @@ def _query(n: int = 64) -> list[float]:
 
 def _scores(metric: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return _embeddings(spark, d).select("vec_id", F.round(vector.score(F.col("embedding"), _query(), metric), 6).alias("score"))
+        return _embeddings(spark, d).select("vec_id", F.round(vector.score_fixed(F.col("embedding"), _query(), metric), 6).alias("score"))
 
     return run
 

@@ -223,9 +223,7 @@ def column(p: Predicate, schema: TableSchema, members: dict[VectorNearest, Colum
 
 def nearest_keys(df: DataFrame, p: VectorNearest, key: str) -> DataFrame:
     """Keys of the rows most similar to the query; ties by key, rows without a usable vector left out."""
-    score = vector.score(F.col(p.field), p.query, p.metric)
-    usable = vector.usable(F.col(p.field), len(p.query))
-    return df.where(usable).select(key, score.alias("_score")).where(~F.isnan("_score")).orderBy(F.col("_score").desc(), key).limit(p.top_k).select(key)
+    return vector.top_k(df, key, p.field, p.query, p.top_k, p.metric).select(key)
 
 
 def select(df: DataFrame, p: Predicate, schema: TableSchema, key: str = "_key") -> DataFrame:

@@ -173,7 +173,7 @@ def execute(query: str | SqlQuery, df: DataFrame, schema: TableSchema | None = N
     if query.order:
 
         def order(k: OrderKey) -> Column:
-            of = F.col(k.of) if isinstance(k.of, str) else vector.distance(F.col(k.of.field), list(parameters[k.of.parameter]), k.of.metric)
+            of = F.col(k.of) if isinstance(k.of, str) else vector.distance_fixed(F.col(k.of.field), parameters[k.of.parameter], k.of.metric)
             return of.desc_nulls_last() if k.descending else of.asc_nulls_last()
 
         df = df.orderBy(*map(order, query.order))
