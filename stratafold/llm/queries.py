@@ -148,6 +148,16 @@ nodes AS (
       AND len(list_filter(n.node_vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
 _COSINE = "coalesce(CASE WHEN list_dot_product({0}, {0}) > 0 AND list_dot_product({1}, {1}) > 0 THEN list_cosine_similarity({0}, {1}) END, 0)"
 
+_SPANS = """
+windows AS (
+    SELECT doc_id, s, substr(text, s + 1, 100) AS w
+    FROM (SELECT doc_id, text, unnest(range(0, length(text) - 99)) AS s FROM documents WHERE length(text) >= 100)),
+shared AS (SELECT w FROM windows GROUP BY w HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT doc_id, s FROM windows SEMI JOIN shared USING (w)),
+marked AS (SELECT doc_id, s, coalesce(s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) > 100, true)::INT AS fresh FROM hits),
+runs AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM marked),
+spans AS (SELECT doc_id, min(s) AS span_start, max(s) + 100 AS span_end FROM runs GROUP BY doc_id, run)"""
+
 ORACLES = {
     "p1_found": f"WITH {_P1} SELECT feed, record_no FROM judged WHERE is_repeat",
     "p1_judged": f"WITH {_P1} SELECT feed, record_no, is_repeat FROM judged",
@@ -174,13 +184,10 @@ links AS MATERIALIZED (
     WHERE {_COSINE.format("a.v", "b.v")} >= 0.87),
 reached AS (SELECT a AS node, b AS other FROM links UNION SELECT node, b FROM reached JOIN links ON other = a)
 SELECT least(node, min(other)) AS cluster_id, node AS node_id FROM reached GROUP BY node""",
-    "p8_found": """
-WITH windows AS (
-    SELECT doc_id, s, substr(text, s + 1, 100) AS w
-    FROM (SELECT doc_id, text, unnest(range(0, length(text) - 99)) AS s FROM documents WHERE length(text) >= 100)),
-shared AS (SELECT w FROM windows GROUP BY w HAVING min(doc_id) < max(doc_id)),
-hits AS (SELECT doc_id, s FROM windows SEMI JOIN shared USING (w)),
-marked AS (SELECT doc_id, s, coalesce(s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) > 100, true)::INT AS fresh FROM hits),
-runs AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM marked)
-SELECT doc_id, min(s) AS span_start, max(s) + 100 AS span_end FROM runs GROUP BY doc_id, run""",
+    "p8_found": f"WITH {_SPANS} SELECT doc_id, span_start, span_end FROM spans",
+    "p8_parts": f"""
+WITH {_SPANS}, parts AS (SELECT doc_id, sum(span_end - span_start) AS n FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(length(text), 0) AS chars, coalesce(n, 0)::BIGINT AS shared_chars,
+       CASE WHEN length(text) > 0 THEN round(coalesce(n, 0) / length(text), 6) ELSE 0 END AS share
+FROM documents LEFT JOIN parts USING (doc_id)""",
 }
