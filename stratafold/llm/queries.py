@@ -122,10 +122,18 @@ def p8_lines(spark: SparkSession, d: str) -> DataFrame:
     return spans.duplicate_lines(_table(spark, d, "documents"))
 
 
+def p3_pivots(spark: SparkSession, d: str) -> DataFrame:
+    """The clusters around pivots, each with its size, recomputed medoid and most typical members."""
+    nodes, dims = _nodes(spark, d)
+    names = F.array(*[F.lit(name) for name in dims])
+    found = clusters.describe(nodes, clusters.pivot_clusters(nodes, dims))
+    return found.select("cluster_id", names[F.col("field_no")].alias("field_name"), "size", "medoid", "typical", "mean_cosine")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_judged": p1_judged, "p1_error_rate": p1_error_rate,
     "p2_found": p2_found, "p2_recall": p2_recall, "p2_nodes": p2_nodes,
-    "p3_found": p3_found, "p3_clusters": p3_clusters,
+    "p3_found": p3_found, "p3_clusters": p3_clusters, "p3_pivots": p3_pivots,
     "p6_ids": p6_ids, "p6_lengths": p6_lengths,
     "p7_assignments": p7_assignments, "p7_fill": p7_fill,
     "p8_found": p8_found, "p8_parts": p8_parts, "p8_lines": p8_lines,
