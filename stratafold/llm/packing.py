@@ -18,7 +18,7 @@ from stratafold import storage
 #: Items of one packing task, and the share of a container below which its items are packed again.
 SHARD_ITEMS = 40_000
 SETTLED = 0.995
-_PLACED = "container_kind string, container_id bigint, doc_id bigint, piece int, token_start bigint, token_count bigint, fill bigint"
+_PLACED = "container_kind string, container_id bigint, doc_id bigint, has_id boolean, piece int, token_start bigint, token_count bigint, fill bigint"
 
 _KINDS = "array<struct<container_kind:string,capacity:bigint>>"
 
@@ -71,8 +71,8 @@ def _items(sizes: DataFrame, capacities: DataFrame) -> DataFrame:
     each = F.array(*[F.struct(F.lit(r.container_kind).alias("container_kind"), F.lit(int(r.c)).cast("bigint").alias("capacity")) for r in known]) if known else F.array().cast(_KINDS)
     pieces = F.greatest(F.ceil(F.col("n_tokens") / F.col("capacity")), F.lit(1)).cast("int")
     return (
-        sizes.select("doc_id", F.col("n_tokens").cast("bigint").alias("n_tokens"), F.explode(each).alias("kind"))
-        .select("kind.*", "doc_id", "n_tokens")
+        sizes.select("doc_id", "has_id", F.col("n_tokens").cast("bigint").alias("n_tokens"), F.explode(each).alias("kind"))
+        .select("kind.*", "doc_id", "has_id", "n_tokens")
         .withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
         .withColumn("token_start", F.col("piece") * F.col("capacity"))
         .withColumn("token_count", F.least(F.col("capacity"), F.col("n_tokens") - F.col("token_start")))
@@ -86,7 +86,7 @@ def _pack(stage: int):
         box = sum_of_squares(rows["token_count"].to_numpy(), capacity)
         fill = np.bincount(box, weights=rows["token_count"]).astype(np.int64)
         return rows.assign(container_id=(stage << 60) + (rows["shard"].to_numpy().astype(np.int64) << 32) + box, fill=fill[box])[
-            ["container_kind", "container_id", "doc_id", "piece", "token_start", "token_count", "fill"]
+            ["container_kind", "container_id", "doc_id", "has_id", "piece", "token_start", "token_count", "fill"]
         ]
 
     return pack
@@ -106,16 +106,18 @@ def pack(sizes: DataFrame, capacities: DataFrame) -> DataFrame:
     ``sizes``: (doc_id, n_tokens), null counts as none. ``capacities``: (container_kind, capacity_tokens), a small table.
     Result: container_kind, container_id, doc_id, piece, token_start, token_count. Only a document larger than the
     capacity has more than one piece. Documents of no tokens lie in containers too, taking no room. Repeated rows are packed
-    like different documents.
+    like different documents, and so are documents without an id.
     """
-    items = storage.materialise(_items(sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")), capacities), "packing-items")
+    # pandas has no whole numbers that may be null: the ids of documents without one go as 0 and are put back at the end
+    items = storage.materialise(_items(sizes.select(F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("doc_id"), F.col("doc_id").isNotNull().alias("has_id"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")), capacities), "packing-items")
     first = storage.materialise(_packed(items, items.groupBy("container_kind").agg(F.count("*").alias("n")), 0), "packing-first")
     kinds = items.groupBy("container_kind").agg(F.max("capacity").alias("capacity"))
     settled = F.col("fill") >= F.col("capacity") * SETTLED
     judged = first.join(kinds, "container_kind")
     again = storage.materialise(judged.where(~settled).drop("container_id", "fill"), "packing-again")
     second = _packed(again, again.groupBy("container_kind").agg(F.count("*").alias("n")), 1)
-    return judged.where(settled).select(*first.columns).unionByName(second).drop("fill")
+    packed = judged.where(settled).select(*first.columns).unionByName(second)
+    return packed.withColumn("doc_id", F.when(F.col("has_id"), F.col("doc_id"))).drop("fill", "has_id")
 
 
 def fill_report(packed: DataFrame, capacities: DataFrame) -> DataFrame:

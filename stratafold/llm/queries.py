@@ -75,7 +75,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Every cluster with its size, medoid and most typical members."""
     nodes, dims = _nodes(spark, d)
-    names = F.array(*[F.lit(name) for name in dims])
+    names = F.array(*[F.lit(name) for name in dims]).cast("array<string>")
     found = clusters.describe(nodes, clusters.components(nodes, dims))
     return found.select("cluster_id", names[F.col("field_no")].alias("field_name"), "size", "medoid", "typical", "mean_cosine")
 
@@ -125,7 +125,7 @@ def p8_lines(spark: SparkSession, d: str) -> DataFrame:
 def p3_pivots(spark: SparkSession, d: str) -> DataFrame:
     """The clusters around pivots, each with its size, recomputed medoid and most typical members."""
     nodes, dims = _nodes(spark, d)
-    names = F.array(*[F.lit(name) for name in dims])
+    names = F.array(*[F.lit(name) for name in dims]).cast("array<string>")
     found = clusters.describe(nodes, clusters.pivot_clusters(nodes, dims))
     return found.select("cluster_id", names[F.col("field_no")].alias("field_name"), "size", "medoid", "typical", "mean_cosine")
 

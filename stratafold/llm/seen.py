@@ -20,6 +20,8 @@ from stratafold import storage
 KEYED = "feed string, scope string, key string, position bigint"
 #: Position given to everything that lies before the records to be judged.
 BEFORE = -(2**63)
+#: Position of records whose own is null: they come last, all at once.
+UNKNOWN = 2**63 - 1
 _STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
@@ -76,13 +78,13 @@ class SeenKeys:
     def judge(self, keyed: DataFrame) -> DataFrame:
         """``keyed`` (a batch frame) with ``is_repeat``: false for the first of a key, true for the others, null without a key.
 
-        Rows that share key and position are one occurrence. The join is on key and position together, of which a
+        Rows that share key and position are one occurrence; rows of unknown (null) position come after all others. The join is on key and position together, of which a
         hot key has as many as it has rows, so no partition grows with it.
         """
         on = [keyed[c].eqNullSafe(F.col(f"f.{c}")) for c in ("feed", "scope", "key", "position")]
         firsts = self.firsts().where(F.col("position") != BEFORE).alias("f")
         return keyed.join(firsts, on[0] & on[1] & on[2] & on[3], "left").select(
-            *(keyed[c] for c in ("feed", "scope", "key", "position")), F.when(keyed["key"].isNotNull(), F.col("f.position").isNull()).alias("is_repeat")
+            *(keyed[c] for c in ("feed", "scope", "key")), F.nullif(keyed["position"], F.lit(UNKNOWN)).alias("position"), F.when(keyed["key"].isNotNull(), F.col("f.position").isNull()).alias("is_repeat")
         )
 
 
@@ -90,7 +92,7 @@ def keyed_rows(df: DataFrame, feed: str, scope: str | None, key: str, position:
     """``df`` in the form of ``KEYED``; without ``position`` its rows lie before all records to be judged."""
     return df.select(
         F.lit(feed).alias("feed"), (F.col(scope) if scope else F.lit("")).cast("string").alias("scope"), F.col(key).cast("string").alias("key"),
-        (F.col(position).cast("bigint") if position else F.lit(BEFORE).cast("bigint")).alias("position"),
+        (F.coalesce(F.col(position).cast("bigint"), F.lit(UNKNOWN)) if position else F.lit(BEFORE).cast("bigint")).alias("position"),
     )
 
 

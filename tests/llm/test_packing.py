@@ -95,6 +95,12 @@ def test_nothing_and_only_empty(spark):
     check(rows, [(1, 0), (2, None)], [("k", 8)])
 
 
+def test_documents_without_an_id(spark):
+    big = 2**62 + 1
+    rows = pack(spark, [(None, 3), (None, 4), (big, 5), (0, 6)], [("k", 100)])
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.token_count) for r in rows) == [(False, 0, 6), (False, big, 5), (True, 0, 3), (True, 0, 4)]
+
+
 def test_repeated_rows_are_packed_each(spark):
     rows = pack(spark, [(1, 6), (1, 6), (1, 6)], [("k", 10)])
     assert len(rows) == 3 and len({r.container_id for r in rows}) == 3

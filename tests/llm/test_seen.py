@@ -34,6 +34,12 @@ def test_repeated_rows_are_one_occurrence(spark, tmp_path):
     assert judged(spark, write(spark, str(tmp_path / "a"), []), write(spark, str(tmp_path / "b"), new)) == {("t", "a", 1): False, ("t", "a", 2): True}
 
 
+def test_unknown_positions_come_last(spark, tmp_path):
+    new = [(None, "t", "a"), (7, "t", "a"), (None, "t", "b"), (None, "t", None)]
+    got = judged(spark, write(spark, str(tmp_path / "a"), []), write(spark, str(tmp_path / "b"), new))
+    assert got == {("t", "a", None): True, ("t", "a", 7): False, ("t", "b", None): False, ("t", None, None): None}
+
+
 def test_empty(spark, tmp_path):
     assert judged(spark, write(spark, str(tmp_path / "a"), []), write(spark, str(tmp_path / "b"), [])) == {}
 
