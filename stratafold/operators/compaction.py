@@ -179,7 +179,8 @@ def compact(manifest: DataFrame, entries: DataFrame, root: str | None = None, sm
     """Consolidate the small files and publish the outcome under ``root``; returns ``root``.
 
     Published folders: ``inputs`` (the files replaced, with their groups), ``outputs`` (the files written) and
-    ``data`` (those files). Files not in ``inputs`` stay as they are. Files without records are replaced by nothing.
+    ``data`` (those files). Files not in ``inputs`` stay as they are, copies of a record in two of those included. Files
+    without records are replaced by nothing.
     Raises VerificationError, publishing nothing, if the records read back differ from those to be consolidated.
     """
     spark = manifest.sparkSession

@@ -20,8 +20,8 @@ STATE = "table_name string, entry_key string, sequence_number bigint, feed_pos b
 _FIELDS = ["table_name", "entry_key", "sequence_number", "feed_pos", "is_delete", "put_value"]
 _ARROW = pa.schema([("table_name", pa.string()), ("entry_key", pa.string()), ("sequence_number", pa.int64()), ("feed_pos", pa.int64()), ("is_delete", pa.bool_()), ("put_value", pa.string())])
 #: Estimated input bytes and DuckDB's memory of a bucket.
-BUCKET_BYTES = 32 << 20
-BUCKET_MEMORY = "700MB"
+BUCKET_BYTES = 16 << 20
+BUCKET_MEMORY = "500MB"
 
 #: One row of a batch for each key: greatest sequence number; of equal ones the earliest delivery.
 _REDUCE = """
