@@ -64,7 +64,7 @@ def p2_nodes(spark: SparkSession, d: str) -> DataFrame:
     own = storage.materialise(nodes.where((F.col("id") % 50 == 0) & F.exists("vec", lambda x: x != 0)).withColumn("extra", F.lit(11)), "nearest-own")
     found = nearest.nearest(nodes, own, dims).where("query_id <> node_id")
     best = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "node_id")
-    return found.withColumn("nth", F.row_number().over(best)).where("nth <= 10").select("query_id", "node_id", F.round("cosine", 6).alias("cosine"), "nth")
+    return found.withColumn("nth", F.row_number().over(best)).where("nth <= 10").select("query_id", "node_id", F.round("cosine", 6).alias("cosine"), F.col("nth").cast("bigint").alias("nth"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -169,7 +169,7 @@ spans AS (SELECT doc_id, min(s) AS span_start, max(s) + 100 AS span_end FROM run
 ORACLES = {
     "p1_found": f"WITH {_P1} SELECT feed, record_no FROM judged WHERE is_repeat",
     "p1_judged": f"WITH {_P1} SELECT feed, record_no, is_repeat FROM judged",
-    "p1_error_rate": "SELECT 'entry' AS feed, count(*) AS records, 0 AS wrong, 0.0::DOUBLE AS error_rate FROM incoming_entries UNION ALL SELECT 'cache', count(*), 0, 0.0 FROM cache_reads",
+    "p1_error_rate": "SELECT 'entry' AS feed, count(*) AS records, 0::BIGINT AS wrong, 0.0::DOUBLE AS error_rate FROM incoming_entries UNION ALL SELECT 'cache', count(*), 0::BIGINT, 0.0::DOUBLE FROM cache_reads",
     "p2_found": f"""
 WITH {_USABLE},
 asked AS (
