@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Width up to which rotations are kept as matrices.
+DENSE = 256
+
 
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Fast orthonormal Walsh-Hadamard transform of the rows, whose length is a power of two."""
@@ -32,14 +35,22 @@ class CrossPolytope:
         random = np.random.default_rng([seed, dimensions])
         self.signs = random.choice(np.array([-1, 1], dtype=np.float32), size=(tables, 2, 3, self.width))
         self.cells = 4 * self.width * self.tail
+        # for narrow vectors a pseudo-rotation, carried out once on the unit vectors, is a matrix of which products are faster
+        self.matrices = None
+        if self.width <= DENSE:
+            axes = np.eye(dimensions, dtype=np.float32)
+            self.matrices = [[self._transformed(axes, t, w) for w in (0, 1)] for t in range(tables)]
 
-    def _rotated(self, units: np.ndarray, table: int, which: int) -> np.ndarray:
+    def _transformed(self, units: np.ndarray, table: int, which: int) -> np.ndarray:
         x = np.zeros((len(units), self.width), dtype=np.float32)
         x[:, : self.dimensions] = units
         for sign in self.signs[table, which]:
             x = hadamard(x * sign)
         return x[:, : self.tail] if which else x
 
+    def _rotated(self, units: np.ndarray, table: int, which: int) -> np.ndarray:
+        return units @ self.matrices[table][which] if self.matrices else self._transformed(units, table, which)
+
     def cell(self, units: np.ndarray, table: int) -> np.ndarray:
         """The cell of each row in a table."""
         return self.probe(units, table, 1)[0][:, 0]
