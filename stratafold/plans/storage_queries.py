@@ -135,6 +135,13 @@ def q61_ordered_merge(spark: SparkSession, d: str) -> DataFrame:
     return partitioning.ordered_merge([o.where("o_orderkey < 500"), o.where("o_orderkey >= 400 AND o_orderkey < 900"), o.where("o_orderkey < 100")], "o_orderkey")
 
 
+def q61_merge_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All ranges of the orders, what lies outside them, and the pending orders a second time."""
+    o = _ranges().assigned(_orders(spark, d), "o_orderkey")
+    parts = [o.where(F.col("partition_id") == i) for i in _ranges().ids] + [o.where("partition_id IS NULL"), o.where("o_orderstatus = 'P'")]
+    return partitioning.ordered_merge([p.select("o_orderkey") for p in parts], "o_orderkey")
+
+
 _NODES = ("node-a", "node-b", "node-c", "node-d", "node-e")
 
 
@@ -321,6 +328,7 @@ CASE WHEN _key IS NULL THEN c_mktsegment ELSE seg END AS c_mktsegment FROM custo
     "q59_clipped_scan": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 900 AND o_orderkey < 4100",
     "q60_scatter_gather": f"SELECT o_orderkey, {_ROUTE} AS partition_id FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderkey LIMIT 25",
     "q61_ordered_merge": "SELECT o_orderkey FROM orders WHERE o_orderkey < 500 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey >= 400 AND o_orderkey < 900 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey < 100",
+    "q61_merge_whole": "SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'",
     "q63_typed_json": "SELECT event_id, (props->>'$.k')::INT AS k, NULL::VARCHAR AS absent FROM events",
     "q64_json_round_trip": "SELECT event_id, date_trunc('millisecond', ts)::TIMESTAMP AS ts, event_type, value FROM events",
     "q65_skipped_lines": "SELECT event_id, event_type FROM events WHERE event_id % 3 <> 0",

@@ -29,3 +29,9 @@ def test_entry(spark):
 def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert {"p4_found", "p5_found"} <= set(entry.queries())
+
+
+def test_merge_sees_every_order(spark, db):
+    keys = [r.o_orderkey for r in catalogue.QUERIES["q61_merge_whole"](spark, FOLDER).collect()]
+    every = [k for (k,) in db.execute("SELECT o_orderkey FROM orders ORDER BY 1").fetchall()]
+    assert keys == sorted(keys) and set(keys) == set(every) and max(keys) >= 900 and len(keys) > len(every)
