@@ -8,12 +8,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 METRICS = ("cosine", "euclidean", "dot")
-#: Defaults of an inverted file.
+#: Defaults of an inverted file: its lists, and those that a search looks into first.
 CLUSTERS, PROBES = 256, 8
 
 
@@ -108,6 +108,42 @@ def top_k(df: DataFrame, key: str, field: str, query: Sequence[float], k: int, m
     return scored.where(F.col("score").isNotNull()).orderBy(F.col("score").desc(), key).limit(k)
 
 
+def _near(x: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
+    """Similarity of each row of ``x`` to each centroid."""
+    if metric == "euclidean":
+        return -((x * x).sum(1)[:, None] + (c * c).sum(1) - 2 * x @ c.T)
+    near = x @ c.T
+    if metric == "cosine":
+        size = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((c * c).sum(1))
+        near = np.where(size > 0, near / np.where(size > 0, size, 1), 0)
+    return near
+
+
+def _places(x: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
+    """For each row of ``x`` the place of each list in the order of probing."""
+    return np.argsort(np.argsort(-np.round(_near(x, c, metric), 12), axis=1, kind="stable"), axis=1)
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(size > 0, size, 1)
+
+
+def _bounds(x: np.ndarray, c: np.ndarray, radii: np.ndarray, metric: str) -> np.ndarray:
+    """For each row of ``x`` the greatest score that a vector of each list can have, by the triangle inequality."""
+    if metric == "cosine":
+        x, c = _units(x), _units(c)
+    if metric == "euclidean":
+        apart = np.sqrt(((x[:, None, :] - c[None, :, :]) ** 2).sum(axis=2))
+        most = -np.maximum(apart - radii, 0)
+        slack = apart + radii
+    else:
+        length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        most = x @ c.T + length * radii
+        slack = length * (np.sqrt((c * c).sum(axis=1)) + radii)
+    return most + 1e-9 * slack
+
+
 class InvertedFile:
     """An index of flat lists: the first ``clusters`` vectors by key are the centroids, every vector lies in the list
     of the centroid most similar to it (ties: the earlier centroid).
@@ -123,17 +159,29 @@ class InvertedFile:
         rows = df.where(F.col(field).isNotNull()).select(key, field).orderBy(key).limit(clusters).collect()
         self.centroids = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), len(rows[0][1]) if rows else 1)
         self.clusters = len(rows)
+        self._radii: np.ndarray | None = None
         self.lists = df.where(F.col(field).isNotNull()).withColumn("centroid", self._nearest(F.col(field)))
 
     def _scores(self, x: np.ndarray) -> np.ndarray:
-        c = self.centroids
-        if self.metric == "euclidean":
-            return -((x * x).sum(1)[:, None] + (c * c).sum(1) - 2 * x @ c.T)
-        near = x @ c.T
-        if self.metric == "cosine":
-            size = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((c * c).sum(1))
-            near = np.where(size > 0, near / np.where(size > 0, size, 1), 0)
-        return near
+        return _near(x, self.centroids, self.metric)
+
+    def radii(self) -> np.ndarray:
+        """The greatest distance of a vector of each list from its centroid, for cosines of the unit vectors; -inf for empty lists."""
+        if self._radii is None:
+            c, unit = self.centroids, self.metric == "cosine"
+
+            @F.pandas_udf("double")
+            def away(v: pd.Series, centroid: pd.Series) -> pd.Series:
+                if not len(v):
+                    return pd.Series([], dtype="float64")
+                x, own = np.stack(v.to_numpy()).astype(np.float64), c[centroid.to_numpy()]
+                return pd.Series(np.sqrt((((_units(x) - _units(own)) if unit else (x - own)) ** 2).sum(axis=1)))
+
+            found = np.full(self.clusters, -np.inf)
+            for r in self.lists.select("centroid", away(self.field, "centroid").alias("away")).groupBy("centroid").agg(F.max("away").alias("away")).collect():
+                found[r.centroid] = np.inf if r.away is None or np.isnan(r.away) else r.away
+            self._radii = found
+        return self._radii
 
     def _nearest(self, v: Column) -> Column:
         scores = self._scores
@@ -152,18 +200,54 @@ class InvertedFile:
         self.lists = self.lists.sparkSession.read.parquet(path)
 
     def search(self, query: Sequence[float], k: int, probes: int | None = None, removed: DataFrame | None = None) -> DataFrame:
-        """(key, score) of the ``k`` best rows of the ``probes`` lists most similar to the query.
+        """(key, score) of the ``k`` best rows of the ``probes`` lists most similar to the query; without ``probes`` of all rows.
 
-        Probing all lists is exact. ``removed`` holds keys to be left out before the best are taken. An explicit
-        number of probes beyond the number of lists is refused.
+        For the latter the first few lists give a least score, and of the other lists those are read that may hold a better
+        row. ``removed`` holds keys to be left out before the best are taken. An explicit number of probes beyond the
+        number of lists is refused; fewer than all of them may miss rows.
         """
         if probes is not None and not 1 <= probes <= self.clusters:
             raise ValueError(f"{probes} probes of {self.clusters} lists")
         if not self.clusters:
             return top_k(self.lists, self.key, self.field, query, k, self.metric)
-        s = np.round(self._scores(np.asarray(query, dtype=np.float64)[None, :])[0], 12)
-        lists = np.argsort(-s, kind="stable")[: probes or min(PROBES, self.clusters)].tolist()
-        rows = self.lists.where(F.col("centroid").isin(lists))
-        if removed is not None:
-            rows = rows.join(removed.select(self.key), self.key, "left_anti")
-        return top_k(rows, self.key, self.field, query, k, self.metric)
+
+        def best(lists: Sequence[int]) -> DataFrame:
+            rows = self.lists.where(F.col("centroid").isin(list(lists)))
+            if removed is not None:
+                rows = rows.join(removed.select(self.key), self.key, "left_anti")
+            return top_k(rows, self.key, self.field, query, k, self.metric)
+
+        x = np.asarray(query, dtype=np.float64)[None, :]
+        place = _places(x, self.centroids, self.metric)[0]
+        first = np.flatnonzero(place < (probes or PROBES)).tolist()
+        if probes is not None or len(first) == self.clusters:
+            return best(first)
+        lead = best(first).agg(F.count("*"), F.min("score")).first()
+        floor = lead[1] if lead[0] == k and k > 0 else -np.inf
+        return best(np.flatnonzero((place < PROBES) | ~(_bounds(x, self.centroids, self.radii(), self.metric)[0] < floor)).tolist())
+
+    def recall(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
+        """(queries, wanted, found, recall): the share of the exact ``k`` best that searches for the vectors of ``queries``, rows
+        (key, field) as the index has them, find by reading the lists they do."""
+        c, metric = self.centroids, self.metric
+        radii = self.radii() if probes is None else np.zeros(self.clusters)
+
+        @F.pandas_udf("array<double>")
+        def places(v: pd.Series) -> pd.Series:
+            return pd.Series(list(_places(np.stack(v.to_numpy()).astype(np.float64), c, metric).astype(np.float64)) if len(v) else [], dtype=object)
+
+        @F.pandas_udf("array<double>")
+        def bounds(v: pd.Series) -> pd.Series:
+            return pd.Series(list(_bounds(np.stack(v.to_numpy()).astype(np.float64), c, radii, metric)) if len(v) else [], dtype=object)
+
+        asked = queries.where(F.col(self.field).isNotNull()).select(F.col(self.key).alias("_asked"), F.col(self.field).alias("_query"), places(self.field).alias("_places"), bounds(self.field).alias("_bounds"))
+        at = F.col("centroid") + 1
+        pairs = self.lists.crossJoin(asked).select("_asked", self.key, score(F.col(self.field), F.col("_query"), metric).alias("score"), F.element_at("_places", at).alias("place"), F.element_at("_bounds", at).alias("bound"))
+        nth = F.row_number().over(Window.partitionBy("_asked").orderBy(F.col("score").desc(), self.key))
+        exact = pairs.withColumn("nth", nth).where(F.col("nth") <= k)
+        reached = F.col("place") < (probes or PROBES)
+        if probes is None:
+            floors = pairs.where(reached).withColumn("nth", nth).where(F.col("nth") == k).select("_asked", F.col("score").alias("floor"))
+            exact = exact.join(floors, "_asked", "left")
+            reached = reached | F.col("floor").isNull() | (F.col("bound") >= F.col("floor"))
+        return exact.agg(F.countDistinct("_asked").alias("queries"), F.count("*").alias("wanted"), F.count_if(reached).alias("found")).withColumn("recall", F.try_divide("found", "wanted"))

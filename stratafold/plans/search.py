@@ -148,6 +148,18 @@ def q47_ivf_removed(spark: SparkSession, d: str) -> DataFrame:
     return _inverted(spark, d).search(_query(), 10, 16, removed).select("vec_id", F.round("score", 6).alias("score"))
 
 
+def q47_ivf_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Without a number of probes no list is left out that may hold one of the best."""
+    return _inverted(spark, d).search(_query(), 10).select("vec_id", F.round("score", 6).alias("score"))
+
+
+def q47_ivf_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Share of the exact answer that the lists read hold, over the vectors whose id is divisible by 50: for 4 probes and without a number."""
+    index, queries = _inverted(spark, d), _embeddings(spark, d).where("vec_id % 50 = 0")
+    of = lambda probes: index.recall(queries, 10, probes).withColumn("probes", F.lit(probes).cast("int"))
+    return of(4).unionByName(of(None))
+
+
 def q47_half_precision(spark: SparkSession, d: str) -> DataFrame:
     half = table(spark, d, "embeddings").select("vec_id", vector.half_precision("embedding").alias("v"))
     return half.select("vec_id", F.round(vector.dot(F.col("v"), F.col("v")), 6).alias("norm"))
@@ -159,7 +171,7 @@ QUERIES = {
     "q38_stems": q38_stems, "q38_stemmed_query": q38_stemmed_query, "q39_dot": _scores("dot"), "q40_cosine": _scores("cosine"), "q41_euclidean": _scores("euclidean"),
     "q42_top_k": q42_top_k, "q43_distance_asc": _by_distance("ASC", "cosine"), "q43_distance_euclidean": _by_distance("ASC", "euclidean"), "q44_distance_desc": _by_distance("DESC", "dot"),
     "q45_nearest_and_filter": q45_nearest_and_filter, "q45_nearest_or_filter": q45_nearest_or_filter, "q46_ivf_assign": q46_ivf_assign, "q47_ivf_search": q47_ivf_search,
-    "q47_ivf_removed": q47_ivf_removed, "q47_half_precision": q47_half_precision,
+    "q47_ivf_removed": q47_ivf_removed, "q47_ivf_exact": q47_ivf_exact, "q47_ivf_recall": q47_ivf_recall, "q47_half_precision": q47_half_precision,
 }
 
 _LIST = "[" + ", ".join(map(str, _query())) + "]::DOUBLE[]"
@@ -191,5 +203,6 @@ SELECT DISTINCT 'source', lower(regexp_replace(w, '[^\p{{L}}\p{{N}}]', '', 'g'))
     "q45_nearest_or_filter": f"WITH {_E}, near AS (SELECT * FROM e ORDER BY {_DOT} DESC, vec_id LIMIT 20) SELECT vec_id, label FROM e WHERE label = 1 OR vec_id IN (SELECT vec_id FROM near)",
     "q46_ivf_assign": f"WITH {_IVF} SELECT vec_id, centroid FROM lists",
     "q47_ivf_search": f"WITH {_IVF}, probed AS (SELECT centroid FROM c ORDER BY list_dot_product(cv, {_LIST}) DESC, centroid LIMIT 4) SELECT vec_id, round({_DOT}, 6) AS score FROM lists WHERE centroid IN (SELECT centroid FROM probed) ORDER BY {_DOT} DESC, vec_id LIMIT 10",
+    "q47_ivf_exact": f"WITH {_E} SELECT vec_id, round({_DOT}, 6) AS score FROM e ORDER BY {_DOT} DESC, vec_id LIMIT 10",
     "q47_ivf_removed": f"WITH {_E} SELECT vec_id, round({_DOT}, 6) AS score FROM e WHERE label <> 0 ORDER BY {_DOT} DESC, vec_id LIMIT 10",
 }

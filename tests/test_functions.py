@@ -79,6 +79,19 @@ def test_inverted_file(spark, metric, tmp_path):
             index.search(q, 10, bad)
 
 
+@pytest.mark.parametrize("metric", vector.METRICS)
+def test_inverted_file_reads_what_it_needs(spark, metric):
+    r = np.random.default_rng(5)
+    data = [(i, [float(x) for x in r.normal(size=16) * r.uniform(0.2, 3)]) for i in range(400)]
+    df = spark.createDataFrame(data, "id bigint, v array<float>")
+    index = vector.InvertedFile(df, "id", "v", metric, 40)
+    for _ in range(3):
+        q = [float(x) for x in r.normal(size=16)]
+        assert [x.id for x in index.search(q, 10).collect()] == [x.id for x in vector.top_k(df, "id", "v", q, 10, metric).collect()]
+    whole, part = (index.recall(df.where("id % 50 = 0"), 10, probes).first() for probes in (None, 2))
+    assert (whole.queries, whole.wanted, whole.recall) == (8, 80, 1.0) and part.recall < 0.9
+
+
 def test_inverted_file_of_nothing(spark):
     index = vector.InvertedFile(spark.createDataFrame([], "id bigint, v array<float>"), "id", "v")
     assert index.search([1.0], 3).count() == 0
