@@ -1,7 +1,9 @@
 """Shared working folders and atomic publication.
 
 Everything that outlives one stage is written below the folder named by ``spark.checkpoint.dir``,
-which all executors share. Only where that setting is absent (tests, a laptop) a local folder is made.
+which all executors share. Only where that setting is absent and the master is local (tests, a laptop) a local folder
+is made; a cluster without the setting is refused. An application's tables lie in one folder, ``stratafold/<its id>``;
+those of a finished computation are deleted as soon as its result is written, the rest at the end of a local run.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if (set_there := spark.sparkContext.getCheckpointDir()) is not None:
         return set_there.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_folder is None:
         folder = tempfile.mkdtemp(prefix="stratafold-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -33,8 +37,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def workspace(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder name below the shared folder; nothing is created yet."""
-    return f"{shared_folder(spark)}/stratafold/{purpose}-{uuid.uuid4().hex}"
+    """A fresh folder name below the application's part of the shared folder; nothing is created yet."""
+    return f"{shared_folder(spark)}/stratafold/{spark.sparkContext.applicationId}/{purpose}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, purpose: str, **options: str) -> DataFrame:
@@ -45,6 +49,28 @@ def materialise(df: DataFrame, purpose: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """The intermediate tables of one computation, deleted together once its result is written."""
+
+    def __init__(self, spark: SparkSession, purpose: str):
+        self.spark, self.purpose, self.root = spark, purpose, workspace(spark, f"{purpose}-scratch")
+
+    def keep(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        """``materialise`` below the scratch folder."""
+        path = f"{self.root}/{name}-{uuid.uuid4().hex}"
+        df.write.options(**options).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """``df`` written to a folder that stays; the scratch folder is deleted."""
+        out = materialise(df, self.purpose)
+        self.clear()
+        return out
+
+    def clear(self) -> None:
+        discard(self.spark, self.root)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store."""
     place, fs = _hadoop(spark, path)
