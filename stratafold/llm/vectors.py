@@ -50,7 +50,8 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Cells:
-    """How vectors are hashed: ``probes`` cells in each of ``tables``, of those at most ``loss`` worse than the first."""
+    """How vectors are hashed: ``probes`` cells in each of ``tables``, of those at most ``loss`` lower than the first.
+    All-zero vectors lie in no direction and so in no cell."""
 
     dims: tuple[int, ...]
     tables: int
@@ -61,40 +62,87 @@ class Cells:
     def hashes(self) -> list[CrossPolytope]:
         return [CrossPolytope(d, self.tables, self.tail) for d in self.dims]
 
-    def emit(self, schema: str, arrow: pa.Schema, with_vector: bool) -> tuple[Callable, str]:
-        """A function for mapInArrow from (id, field_no, extra, vec) to one row for each cell of a vector."""
-        spec = self
-
-        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes = spec.hashes()
-            widest = max((h.cells for h in hashes), default=1)
-            for batch in batches:
-                numbers = batch.column("field_no").to_numpy(zero_copy_only=False)
-                for no in np.unique(numbers):
-                    rows = np.flatnonzero(numbers == no)
-                    part = batch.take(pa.array(rows))
-                    units = units_of(matrix(part.column("vec")))
-                    for table in range(spec.tables):
-                        cells, losses = hashes[no].probe(units, table, spec.probes)
-                        row, nth = np.nonzero(losses <= spec.loss)
-                        cell = (int(no) * spec.tables + table) * widest + cells[row, nth]
-                        take = pa.array(row)
-                        out = [pa.array(cell), part.column("id").take(take), part.column("extra").take(take)]
-                        if with_vector:
-                            out.append(part.column("vec").take(take))
-                        yield pa.RecordBatch.from_arrays([x.cast(t) for x, t in zip(out, arrow.types, strict=True)], schema=arrow)
-
-        return place, schema
+    def _each(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+        """For every field and table of every batch: its rows, their unit vectors, and row and number of each cell they lie in."""
+        hashes = self.hashes()
+        widest = max((h.cells for h in hashes), default=1)
+        for batch in batches:
+            numbers = batch.column("field_no").to_numpy(zero_copy_only=False)
+            for no in np.unique(numbers):
+                part = batch.take(pa.array(np.flatnonzero(numbers == no)))
+                units = units_of(matrix(part.column("vec")))
+                some = units.any(axis=1)
+                for table in range(self.tables):
+                    cells, losses = hashes[no].probe(units, table, self.probes)
+                    row, nth = np.nonzero((losses <= self.loss) & some[:, None])
+                    yield part, units, row, (int(no) * self.tables + table) * widest + cells[row, nth]
 
     def placed(self, vectors: DataFrame, with_vector: bool = True) -> DataFrame:
+        """(cell, id, extra, vec): a row of (id, field_no, extra, vec) for each of its cells."""
         columns = [("cell", pa.int64()), ("id", pa.int64()), ("extra", pa.int32())] + ([("vec", pa.list_(pa.float32()))] if with_vector else [])
-        place, schema = self.emit("cell bigint, id bigint, extra int" + (", vec array<float>" if with_vector else ""), pa.schema(columns), with_vector)
-        return vectors.mapInArrow(place, schema)
+        arrow, each = pa.schema(columns), self._each
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, _, row, cell in each(batches):
+                take = pa.array(row)
+                out = [pa.array(cell), *(part.column(c).take(take) for c in arrow.names[1:])]
+                yield pa.RecordBatch.from_arrays([x.cast(t) for x, t in zip(out, arrow.types, strict=True)], schema=arrow)
+
+        return vectors.mapInArrow(place, "cell bigint, id bigint, extra int" + (", vec array<float>" if with_vector else ""))
+
+    def sketched(self, vectors: DataFrame) -> DataFrame:
+        """(cell, id, sketch): as ``placed``, with the ``sketches`` of the vectors in their place."""
+        arrow, each = pa.schema([("cell", pa.int64()), ("id", pa.int64()), ("sketch", pa.binary())]), self._each
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, units, row, cell in each(batches):
+                rows = sketches(units)[row]
+                offsets = pa.py_buffer((np.arange(len(rows) + 1) * rows.shape[1]).astype(np.int32).tobytes())
+                listed = pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(rows.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(cell), part.column("id").take(pa.array(row)), listed], schema=arrow)
+
+        return vectors.mapInArrow(place, "cell bigint, id bigint, sketch binary")
+
+    def sizes(self, vectors: DataFrame) -> DataFrame:
+        """(cell, n) of the cells that hold rows; every batch is counted before the shuffle."""
+        arrow, each = pa.schema([("cell", pa.int64()), ("n", pa.int64())]), self._each
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, _, _, cell in each(batches):
+                own, n = np.unique(cell, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n)], schema=arrow)
+
+        return vectors.mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+
+
+def sketches(units: np.ndarray) -> np.ndarray:
+    """A row of bytes for each unit vector: a step and the distance of what is kept from the vector, both in single precision,
+    then each coordinate in steps as a signed byte."""
+    step = np.maximum(np.abs(units).max(axis=1), np.float32(1e-30)) / np.float32(127)
+    whole = np.rint(units / step[:, None]).astype(np.int8)
+    kept = whole.astype(np.float64) * step[:, None].astype(np.float64)
+    away = np.sqrt(((units.astype(np.float64) - kept) ** 2).sum(axis=1)) * (1 + 1e-6)
+    return np.concatenate((np.stack((step, away.astype(np.float32)), axis=1).view(np.uint8), whole.view(np.uint8)), axis=1)
+
+
+def of_sketches(column: pa.ChunkedArray) -> tuple[np.ndarray, float]:
+    """The vectors that sketches of equal lengths stand for, and the greatest distance of one from its unit vector."""
+    listed = column.combine_chunks()
+    listed = listed.chunk(0) if isinstance(listed, pa.ChunkedArray) else listed
+    offsets = np.frombuffer(listed.buffers()[1], dtype=np.int32)[listed.offset : listed.offset + len(listed) + 1]
+    raw = np.frombuffer(listed.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]].reshape(len(listed), -1)
+    facts = np.ascontiguousarray(raw[:, :8]).view(np.float32)
+    return raw[:, 8:].view(np.int8).astype(np.float32) * facts[:, :1], float(facts[:, 1].max())
 
 
 def crowded(cells: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(cell, chunks) of the cells with more than one chunk of rows."""
-    return cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select("cell", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
+    return chunked(cells.groupBy("cell").agg(F.count("*").alias("n")), chunk)
+
+
+def chunked(sizes: DataFrame, chunk: int) -> DataFrame:
+    """(cell, chunks) of those of the cells (cell, n) with more than one chunk of rows."""
+    return sizes.where(F.col("n") > chunk).select("cell", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
 
 
 def chunk_of(identity: Column, chunks: Column) -> Column:
