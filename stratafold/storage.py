@@ -156,6 +156,14 @@ def plan_bytes(df: DataFrame) -> int:
     return min(size, 1 << 60)
 
 
+def broadcasts(df: DataFrame) -> bool:
+    """Whether the session's size check would broadcast ``df``, a scan or a written table, by itself."""
+    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").lower()
+    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+    number = text.rstrip("bkmg")
+    return plan_bytes(df) <= int(number) * units[text[len(number) :] or "b"]
+
+
 def spread(df: DataFrame, bytes_each: int, least: int | None = None, times: float = 1) -> int:
     """A partition count that keeps the partitions of ``times`` as much as ``df`` near ``bytes_each``.
 
