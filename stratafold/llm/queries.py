@@ -58,6 +58,31 @@ def p2_recall(spark: SparkSession, d: str) -> DataFrame:
     return nearest.recall(nearest.by_cells(nodes, queries, dims), nearest.by_scan(nodes, queries))
 
 
+def p2_loose(spark: SparkSession, d: str) -> DataFrame:
+    """Queries half-way between two vectors, whose neighbours are far: how many each step settles, and its recall.
+
+    They lie between the node of every id divisible by 50 and that of the next such id, and ask for ten nodes.
+    """
+    nodes, dims = _nodes(spark, d)
+    own = nodes.where((F.col("id") % 50 == 0) & F.exists("vec", lambda x: x != 0))
+    unit = F.transform("vec", lambda x: x / F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, y: s + y.cast("double") * y)))
+    one, other = own.select("id", "field_no", unit.alias("v")), own.select((F.col("id") - 50).alias("id"), "field_no", unit.alias("w"))
+    between = F.zip_with("v", "w", lambda x, y: (x + y).cast("float"))
+    queries = storage.materialise(one.join(other, ["id", "field_no"]).select("id", "field_no", F.lit(10).alias("extra"), between.alias("vec")), "nearest-between")
+    found = nearest.nearest(nodes, queries, dims)
+    exact = nearest.by_scan(nodes, queries).select("query_id", "node_id", F.col("cosine").alias("true"))
+    steps = found.select("query_id", "step").distinct()
+    hit = exact.join(steps, "query_id").join(found.select("query_id", "node_id", F.lit(1).alias("hit")), ["query_id", "node_id"], "left")
+    return hit.groupBy("step").agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("wanted"), F.count("hit").alias("found"), F.round(F.avg("true"), 3).alias("mean_cosine")).withColumn("recall", F.try_divide("found", "wanted"))
+
+
+def p2_steps(spark: SparkSession, d: str) -> DataFrame:
+    """How many of the usable queries each step settles; step 4 is the exact scan."""
+    nodes, dims = _nodes(spark, d)
+    found = nearest.nearest(nodes, nearest.load_queries(_table(spark, d, "vector_queries"), dims), dims)
+    return found.groupBy("step").agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("rows"), F.round(F.min("cosine"), 6).alias("least_cosine"))
+
+
 def p2_nodes(spark: SparkSession, d: str) -> DataFrame:
     """The ten most similar other nodes of every node whose id is divisible by 50."""
     nodes, dims = _nodes(spark, d)
@@ -132,7 +157,7 @@ def p3_pivots(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_judged": p1_judged, "p1_error_rate": p1_error_rate,
-    "p2_found": p2_found, "p2_recall": p2_recall, "p2_nodes": p2_nodes,
+    "p2_found": p2_found, "p2_recall": p2_recall, "p2_loose": p2_loose, "p2_steps": p2_steps, "p2_nodes": p2_nodes,
     "p3_found": p3_found, "p3_clusters": p3_clusters, "p3_pivots": p3_pivots,
     "p6_ids": p6_ids, "p6_lengths": p6_lengths,
     "p7_assignments": p7_assignments, "p7_fill": p7_fill,

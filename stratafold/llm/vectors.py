@@ -33,12 +33,20 @@ def usable(df: DataFrame, dims: dict[str, int], key: str, vector: str, removed:
     for i, (name, n) in enumerate(dims.items()):
         number = F.when(F.col("field_name") == name, F.lit(i)).otherwise(number)
         fits = fits | ((F.col("field_name") == name) & (F.size(vector) == n))
-    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    # nulls are passed over by least and greatest, NaN counts as the greatest
+    finite = F.forall(vector, lambda x: x.isNotNull()) & (F.array_max(vector) < F.lit(float("inf"))) & (F.array_min(vector) > F.lit(float("-inf")))
     keep = F.col(key).isNotNull() & F.col(vector).isNotNull() & fits & finite
     if removed:
         keep = keep & ~F.coalesce(F.col(removed), F.lit(False))
     value = F.struct(number.alias("field_no"), (F.col(extra) if extra else F.lit(0)).cast("int").alias("extra"), F.col(vector).cast("array<float>").alias("vec"))
-    one = df.where(keep).groupBy(F.col(key).alias("id")).agg(F.max(F.struct(F.col(latest).alias("at"), value.alias("v"))).alias("r"))
+    rows = df.where(keep).select(F.col(key).alias("id"), F.struct(F.col(latest).alias("at"), value.alias("v")).alias("r"))
+    # only the rows of repeated ids need to meet; where Spark would broadcast these ids, the others are not shuffled
+    repeated = storage.materialise(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "vectors-repeated")
+    last = lambda some: some.groupBy("id").agg(F.max("r").alias("r"))
+    if storage.broadcasts(repeated):
+        one = rows.join(repeated, "id", "left_anti").select("id", "r").unionByName(last(rows.join(repeated, "id", "left_semi")))
+    else:
+        one = last(rows)
     return one.select("id", "r.v.*")
 
 
