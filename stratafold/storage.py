@@ -83,6 +83,13 @@ def _hadoop(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def as_pattern(path: str) -> str:
+    """A pattern that matches just ``path``: the file source of streams takes a plain path for a folder, a pattern for either."""
+    plain = path.rstrip("/")
+    escaped = "".join(f"\\{c}" if c in "{}[]*?,\\" else c for c in plain)
+    return escaped if escaped != plain else f"{plain[:-1]}[{plain[-1]}]"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     place, fs = _hadoop(spark, path)
     return fs.exists(place)
