@@ -194,7 +194,14 @@ spans AS (SELECT doc_id, min(s) AS span_start, max(s) + 100 AS span_end FROM run
 ORACLES = {
     "p1_found": f"WITH {_P1} SELECT feed, record_no FROM judged WHERE is_repeat",
     "p1_judged": f"WITH {_P1} SELECT feed, record_no, is_repeat FROM judged",
-    "p1_error_rate": "SELECT 'entry' AS feed, count(*) AS records, 0::BIGINT AS wrong, 0.0::DOUBLE AS error_rate FROM incoming_entries UNION ALL SELECT 'cache', count(*), 0::BIGINT, 0.0::DOUBLE FROM cache_reads",
+    "p1_error_rate": f"""
+WITH {_P1},
+truth AS (SELECT feed, record_no, key IS NOT NULL AS judged,
+    key IS NOT NULL AND (EXISTS (SELECT 1 FROM rows b WHERE b.feed = a.feed AND b.scope IS NOT DISTINCT FROM a.scope AND b.key = a.key AND b.position < a.record_no)) AS is_repeat
+    FROM (SELECT feed, scope, key, position AS record_no FROM rows WHERE position >= 0) a)
+SELECT t.feed, count(*) AS records, count_if((j.is_repeat IS NOT DISTINCT FROM CASE WHEN t.judged THEN t.is_repeat END) IS NOT TRUE) AS wrong,
+       count_if((j.is_repeat IS NOT DISTINCT FROM CASE WHEN t.judged THEN t.is_repeat END) IS NOT TRUE) / count(*) AS error_rate
+FROM truth t LEFT JOIN judged j USING (feed, record_no) GROUP BY t.feed""",
     "p2_found": f"""
 WITH {_USABLE},
 asked AS (

@@ -1,16 +1,17 @@
 """Has this key been seen before?
 
 A stream whose keyed state lives in RocksDB on disk, with checkpoints in the shared folder and no watermark, so
-that no key ever expires. The state of a key is the position of its first occurrence. Rows are pre-aggregated per
-key before they are shuffled to the state, so a hot key sends one row per task. A record is a repeat if its key's
-first occurrence is another, earlier one; the answer is exact, whatever the order in which files arrive.
+that no key ever expires. The state of a key is the position of its first occurrence, and when the key was first seen.
+Each micro-batch takes the states of the keys it touched, as they are after it, beside its own records, and says of
+each record whether it is its key's first or a repeat; nothing of earlier batches is read for that. Where a later
+batch brings an earlier position, the record that had been called first is corrected, so the answer is exact whatever
+the order in which files arrive. Rows are pre-aggregated per key before they are shuffled to the state, so a hot key
+sends one row per task.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +19,13 @@ from pyspark.sql import functions as F
 from stratafold import storage
 
 KEYED = "feed string, scope string, key string, position bigint"
+_KEY = ("feed", "scope", "key")
 #: Position given to everything that lies before the records to be judged.
 BEFORE = -(2**63)
 #: Position of records whose own is null: they come last, all at once.
 UNKNOWN = 2**63 - 1
+#: Files of each input that a micro-batch takes.
+FILES_PER_BATCH = 256
 _STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
@@ -31,16 +35,14 @@ _STATE_CONF = {
 }
 
 
-@contextmanager
-def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
-    before = {k: spark.conf.get(k, None) for k in wanted}
-    for k, v in wanted.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+def state_session(spark: SparkSession, partitions: int | None = None) -> SparkSession:
+    """A session of its own for the streams, so that the caller's settings stay as they are. ``partitions`` of the state, which
+    a checkpoint fixes for ever, are the caller's shuffle partitions if not given."""
+    own = spark.newSession()
+    for name, value in _STATE_CONF.items():
+        own.conf.set(name, value)
+    own.conf.set("spark.sql.shuffle.partitions", str(partitions or spark.conf.get("spark.sql.shuffle.partitions")))
+    return own
 
 
 class SeenKeys:
@@ -50,42 +52,69 @@ class SeenKeys:
         self.spark = spark
         self.root = root or storage.workspace(spark, "seen")
 
+    def _read(self, name: str, schema: str, spark: SparkSession | None = None) -> DataFrame:
+        spark, path = spark or self.spark, f"{self.root}/{name}"
+        if not storage.exists(spark, path):
+            return spark.createDataFrame([], f"{schema}, batch bigint")
+        return spark.read.schema(f"{schema}, batch bigint").option("basePath", path).parquet(path)
+
     def observe(self, keyed: DataFrame) -> None:
-        """Run what is new in the streaming frame ``keyed`` (columns of ``KEYED``) through the state, to its end.
+        """Run what is new in the streaming frame ``keyed`` (columns of ``KEYED``, of a ``state_session``) through the state, to its end.
 
-        Each micro-batch leaves the first positions of the keys it touched in a folder of its own, overwritten if the
-        batch is run again, so every key counts exactly once.
+        Each micro-batch leaves its judgements, the firsts it found and its corrections in folders of its own, overwritten
+        if the batch is run again, so every record counts exactly once.
         """
-        firsts = keyed.where(F.col("key").isNotNull()).groupBy("feed", "scope", "key").agg(F.min("position").alias("position"))
-
-        def keep(batch: DataFrame, number: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{self.root}/firsts/batch={number}")
-
-        with _settings(self.spark, _STATE_CONF):
-            query = (
-                firsts.writeStream.outputMode("update").foreachBatch(keep).queryName(f"seen-{uuid.uuid4().hex[:8]}")
-                .option("checkpointLocation", f"{self.root}/checkpoint").trigger(availableNow=True).start()
-            )
-            query.awaitTermination()
-
-    def firsts(self) -> DataFrame:
-        """Every key with the position of its first occurrence. A later batch may only have lowered it."""
-        if not storage.exists(self.spark, f"{self.root}/firsts"):
-            return self.spark.createDataFrame([], KEYED)
-        found = self.spark.read.schema(f"{KEYED}, batch bigint").option("basePath", f"{self.root}/firsts").parquet(f"{self.root}/firsts")
-        return found.groupBy("feed", "scope", "key").agg(F.min("position").alias("position"))
-
-    def judge(self, keyed: DataFrame) -> DataFrame:
-        """``keyed`` (a batch frame) with ``is_repeat``: false for the first of a key, true for the others, null without a key.
-
-        Rows that share key and position are one occurrence; rows of unknown (null) position come after all others. The join is on key and position together, of which a
-        hot key has as many as it has rows, so no partition grows with it.
+        now = F.current_timestamp()
+        known = keyed.where(F.col("key").isNotNull()).withColumn("now", now)
+        state = known.groupBy(*_KEY).agg(F.min("position").alias("position"), F.min("now").alias("since"), F.min(F.when(F.col("position") == BEFORE, F.col("now"))).alias("before_since"))
+        touched = state.select(*_KEY, "position", F.lit(True).alias("is_state"), (F.col("since") < now).alias("old"), (F.col("before_since") == now).alias("new_before"))
+        records = keyed.where(F.col("position") != BEFORE).select(*_KEY, "position", F.lit(False).alias("is_state"), F.lit(None).cast("boolean").alias("old"), F.lit(None).cast("boolean").alias("new_before"))
+
+        def judge(batch: DataFrame, number: int) -> None:
+            spark = batch.sparkSession
+            staged = f"{self.root}/staged-{number}"
+            batch.write.mode("overwrite").partitionBy("is_state").parquet(staged)
+            rows = spark.read.schema(f"{KEYED}, old boolean, new_before boolean, is_state boolean").parquet(staged)
+            own, after = rows.where("NOT is_state").alias("r"), rows.where("is_state").alias("s")
+            same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*_KEY, "position")]
+            # on key and position together, of which a hot key has as many as it has rows, so no partition grows with it
+            firsts = after.where(F.col("position") != BEFORE)
+            judged = own.join(firsts, same[0] & same[1] & same[2] & same[3], "left").select(
+                *(F.col(f"r.{c}") for c in (*_KEY, "position")), F.when(F.col("r.key").isNotNull(), F.col("s.is_state").isNull()).alias("is_repeat"), F.col("s.old").alias("old")
+            )
+            judged.write.mode("overwrite").parquet(f"{self.root}/judged/batch={number}")
+            written = spark.read.schema(f"{KEYED}, is_repeat boolean, old boolean").parquet(f"{self.root}/judged/batch={number}")
+            found = written.where("NOT is_repeat").select(*_KEY, "position", "old").distinct()
+            found.write.mode("overwrite").parquet(f"{self.root}/firsts/batch={number}")
+            # keys of earlier batches whose first is now another
+            moved = found.where("old").select(*_KEY, "position").unionByName(after.where("old AND new_before").select(*_KEY, "position"))
+            moved.write.mode("overwrite").parquet(f"{self.root}/moved/batch={number}")
+            moved = spark.read.schema(KEYED).parquet(f"{self.root}/moved/batch={number}")
+            if not moved.isEmpty():
+                earlier = self._read("firsts", KEYED, spark).where(F.col("batch") < number)
+                m, e = moved.alias("m"), earlier.alias("e")
+                at = [F.col(f"m.{c}").eqNullSafe(F.col(f"e.{c}")) for c in _KEY]
+                m.join(e, at[0] & at[1] & at[2] & (F.col("e.position") > F.col("m.position"))).select("e.*").drop("batch").distinct().write.mode("overwrite").parquet(f"{self.root}/corrections/batch={number}")
+            storage.discard(spark, staged)
+
+        query = (
+            records.unionByName(touched).writeStream.outputMode("update").foreachBatch(judge).queryName(f"seen-{uuid.uuid4().hex[:8]}")
+            .option("checkpointLocation", f"{self.root}/checkpoint").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+
+    def judged(self) -> DataFrame:
+        """Every record observed so far with ``is_repeat``: false for the first of a key, true for the others, null without a key.
+
+        Rows that share key and position are one occurrence; rows of unknown (null) position come after all others.
         """
-        on = [keyed[c].eqNullSafe(F.col(f"f.{c}")) for c in ("feed", "scope", "key", "position")]
-        firsts = self.firsts().where(F.col("position") != BEFORE).alias("f")
-        return keyed.join(firsts, on[0] & on[1] & on[2] & on[3], "left").select(
-            *(keyed[c] for c in ("feed", "scope", "key")), F.nullif(keyed["position"], F.lit(UNKNOWN)).alias("position"), F.when(keyed["key"].isNotNull(), F.col("f.position").isNull()).alias("is_repeat")
-        )
+        rows = self._read("judged", f"{KEYED}, is_repeat boolean").drop("batch")
+        corrections = self._read("corrections", KEYED)
+        if storage.exists(self.spark, f"{self.root}/corrections"):
+            r, c = rows.alias("r"), corrections.select(*_KEY, "position", F.lit(True).alias("corrected")).distinct().alias("c")
+            at = [F.col(f"r.{x}").eqNullSafe(F.col(f"c.{x}")) for x in (*_KEY, "position")]
+            rows = r.join(c, at[0] & at[1] & at[2] & at[3], "left").select(*(F.col(f"r.{x}") for x in (*_KEY, "position")), (F.col("r.is_repeat") | F.coalesce("c.corrected", F.lit(False))).alias("is_repeat"))
+        return rows.withColumn("position", F.nullif("position", F.lit(UNKNOWN)))
 
 
 def keyed_rows(df: DataFrame, feed: str, scope: str | None, key: str, position: str | None) -> DataFrame:
@@ -96,31 +125,29 @@ def keyed_rows(df: DataFrame, feed: str, scope: str | None, key: str, position:
     )
 
 
-def stream_of(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet table, a folder or a single file, as a stream of its files.
-
-    The last letter goes as a pattern of itself, since the file source takes a plain path for a folder.
-    """
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+def stream_of(spark: SparkSession, path: str, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    """A parquet table, a folder or a single file, as a stream of its files, so many in each micro-batch."""
+    return spark.readStream.schema(spark.read.parquet(storage.as_pattern(path)).schema).option("maxFilesPerTrigger", files_per_batch).parquet(storage.as_pattern(path))
 
 
-def judge_feeds(spark: SparkSession, history: list[tuple[str, str, str | None, str]], records: list[tuple[str, str, str | None, str, str]], root: str | None = None) -> DataFrame:
-    """Judge all records of several feeds in one pass.
+def judge_feeds(
+    spark: SparkSession, history: list[tuple[str, str, str | None, str]], records: list[tuple[str, str, str | None, str, str]], root: str | None = None,
+    files_per_batch: int = FILES_PER_BATCH, partitions: int | None = None,
+) -> DataFrame:
+    """Judge all records of several feeds in one pass; with a ``root`` used before, those that are new since then as well.
 
     ``history``: (path, feed, scope column, key column); ``records``: the same and the column of arrival order.
     Columns of the result: feed, scope, key, position, is_repeat. A null key gives null, an empty one is a key.
     """
-    streams = [keyed_rows(stream_of(spark, p), feed, scope, key, None) for p, feed, scope, key in history]
-    streams += [keyed_rows(stream_of(spark, p), *rest) for p, *rest in records]
-    batches = [keyed_rows(spark.read.parquet(p), *rest) for p, *rest in records]
-    together, judged = streams[0], batches[0]
+    own = state_session(spark, partitions)
+    streams = [keyed_rows(stream_of(own, p, files_per_batch), feed, scope, key, None) for p, feed, scope, key in history]
+    streams += [keyed_rows(stream_of(own, p, files_per_batch), *rest) for p, *rest in records]
+    together = streams[0]
     for s in streams[1:]:
         together = together.unionByName(s)
-    for b in batches[1:]:
-        judged = judged.unionByName(b)
     seen = SeenKeys(spark, root)
     seen.observe(together)
-    return seen.judge(judged)
+    return seen.judged()
 
 
 def error_rate(answers: DataFrame, truth: DataFrame) -> DataFrame:

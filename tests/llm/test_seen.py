@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from stratafold.llm import seen
@@ -56,6 +58,32 @@ def test_state_outlives_runs_and_order_of_files(spark, tmp_path):
     assert judged(spark, old, new, root) == brute([(1, "t", "x")], late + early)
 
 
+def test_many_batches_and_restarts(spark, tmp_path):
+    """A file of each input in a micro-batch, in any order, and a restart between: as if all had come at once."""
+    r = random.Random(5)
+    old, new, root = str(tmp_path / "a"), str(tmp_path / "b"), str(tmp_path / "state")
+    history, records = [], []
+    for part in range(2):
+        late = [(i, r.choice("tu"), f"k{r.randrange(30)}") for i in range(12)]
+        some = [(r.randrange(10**6), r.choice(["t", "u", None]), r.choice([f"k{r.randrange(60)}", "hot", "hot", None])) for _ in range(150)]
+        write(spark, old, late, 3)
+        write(spark, new, some, 5)
+        history, records = history + late, records + some
+        df = seen.judge_feeds(spark, [(old, "entry", "table_name", "entry_key")], [(new, "entry", "table_name", "entry_key", "record_no")], root, files_per_batch=1)
+        assert {(x.scope, x.key, x.position): x.is_repeat for x in df.collect()} == brute(history, records)
+        assert df.count() == len(records)
+    batches = [p for p in (tmp_path / "state" / "judged").iterdir() if p.name.startswith("batch=")]
+    assert len(batches) >= 10 and not list((tmp_path / "state").glob("staged-*"))
+
+
+def test_paths_with_letters_of_patterns(spark, tmp_path):
+    folder = tmp_path / "a{1},[x]*"
+    folder.mkdir()
+    new = [(1, "t", "a"), (2, "t", "a")]
+    got = judged(spark, write(spark, str(folder / "old"), []), write(spark, str(folder / "new"), new) + "/")
+    assert got == {("t", "a", 1): False, ("t", "a", 2): True}
+
+
 def test_settings_are_restored(spark, tmp_path):
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     judged(spark, write(spark, str(tmp_path / "a"), []), write(spark, str(tmp_path / "b"), [(1, "t", "a")]))
