@@ -5,13 +5,14 @@ from __future__ import annotations
 import datetime as dt
 import json
 import re
+import uuid
 from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
 from stratafold import storage
-from stratafold.crypto import supports
+from stratafold.crypto import CryptoError, FieldCipher, Keys
 from stratafold.schema import Field, SchemaError, TableSchema
 from stratafold.table import Table
 
@@ -32,13 +33,15 @@ class TableMetadata:
     created_at: str
     state: str
     encrypted: bool
+    folder: str = "data"
 
 
 class Engine:
-    """Named tables, each a folder with its log and a small description that is replaced by renames."""
+    """Named tables, each a folder with its log and a small description that is replaced by renames. Tables with encrypted
+    fields need ``keys``."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, keys: Keys | None = None):
+        self.spark, self.root, self.keys = spark, root.rstrip("/"), keys
         self._handles: Counter[str] = Counter()
 
     def _path(self, name: str) -> str:
@@ -46,8 +49,8 @@ class Engine:
             raise SchemaError(f"{name!r} is no table name")
         return f"{self.root}/{name}"
 
-    def _describe(self, name: str, schema: TableSchema, key_type: str, created: str, encrypted: bool, state: str = "READY") -> None:
-        facts = {"schema": schema.to_json(), "key_type": key_type, "created_at": created, "encrypted": encrypted, "state": state}
+    def _describe(self, name: str, schema: TableSchema, key_type: str, created: str, encrypted: bool, state: str = "READY", folder: str = "data") -> None:
+        facts = {"schema": schema.to_json(), "key_type": key_type, "created_at": created, "encrypted": encrypted, "state": state, "folder": folder}
         storage.write_text(self.spark, f"{self._path(name)}/TABLE", json.dumps(facts))
 
     def table_metadata(self, name: str) -> TableMetadata:
@@ -55,33 +58,49 @@ class Engine:
         if found is None:
             raise TableNotFoundError(name)
         d = json.loads(found)
-        return TableMetadata(name, TableSchema.from_json(d["schema"]), d["key_type"], d["created_at"], d["state"], d["encrypted"])
+        return TableMetadata(name, TableSchema.from_json(d["schema"]), d["key_type"], d["created_at"], d["state"], d["encrypted"], d.get("folder", "data"))
 
     def create_table(self, name: str, schema: TableSchema, key_type: str = "string") -> Table:
         if storage.read_text(self.spark, f"{self._path(name)}/TABLE") is not None:
             raise TableExistsError(name)
+        if self.keys is not None:
+            schema = self._encrypting(schema, {})
         encrypted = any(f.encryption != "NONE" for f in schema.fields)
         self._describe(name, schema, key_type, dt.datetime.now(dt.timezone.utc).isoformat(), encrypted)
         return self.get_table(name)
 
     def create_encrypted_table(self, name: str, schema: TableSchema, schemes: dict[str, str], key_type: str = "string") -> Table:
-        """A table some of whose fields are declared encrypted."""
-        for scheme in schemes.values():
-            supports(scheme, "equality")
+        """A table some of whose fields are stored as ciphertexts."""
+        return self.create_table(name, self._encrypting(schema, schemes), key_type)
+
+    def _encrypting(self, schema: TableSchema, schemes: dict[str, str]) -> TableSchema:
+        if self.keys is None:
+            raise CryptoError("encrypted fields need keys")
         for field in schemes:
             schema.field(field)
         fields = tuple(Field(f.name, f.type, schemes.get(f.name, f.encryption)) for f in schema.fields)
-        return self.create_table(name, TableSchema(schema.name, schema.version, fields, schema.max_depth), key_type)
+        for f in fields:
+            FieldCipher(f, self.keys)
+        return TableSchema(schema.name, schema.version, fields, schema.max_depth)
 
-    def enable_encryption(self, name: str) -> None:
-        """Mark a table as encrypted; there is no way back."""
+    def enable_encryption(self, name: str, schemes: dict[str, str]) -> Table:
+        """Encrypt fields of a table that are stored as they are: its rows are written anew and the old files deleted. There is
+        no way back, and the scheme of a field that is encrypted already stays."""
         m = self.table_metadata(name)
-        self._describe(name, m.schema, m.key_type, m.created_at, True, m.state)
+        for field in schemes:
+            if m.schema.field(field).encryption != "NONE":
+                raise CryptoError(f"{field} is encrypted already")
+        folder = f"data-{uuid.uuid4().hex}"
+        schema = self._encrypting(m.schema, schemes)
+        self.get_table(name).copied(f"{self._path(name)}/{folder}", schema)
+        self._describe(name, schema, m.key_type, m.created_at, True, m.state, folder)
+        storage.discard(self.spark, f"{self._path(name)}/{m.folder}")
+        return self.get_table(name)
 
     def evolve_table(self, name: str, fields: tuple[Field, ...]) -> Table:
         """Append fields to a table's schema; rows written before have nulls there."""
         m = self.table_metadata(name)
-        self._describe(name, m.schema.evolved(fields), m.key_type, m.created_at, m.encrypted, m.state)
+        self._describe(name, m.schema.evolved(fields), m.key_type, m.created_at, m.encrypted or any(f.encryption != "NONE" for f in fields), m.state, m.folder)
         return self.get_table(name)
 
     def get_table(self, name: str) -> Table:
@@ -89,7 +108,7 @@ class Engine:
         if m.state != "READY":
             raise TableNotFoundError(f"{name} is {m.state}")
         self._handles[name] += 1
-        return Table(self.spark, f"{self._path(name)}/data", m.schema, m.key_type)
+        return Table(self.spark, f"{self._path(name)}/{m.folder}", m.schema, m.key_type, self.keys)
 
     def register(self, name: str) -> None:
         """The table's present rows as a temporary view, for Spark SQL."""
@@ -97,7 +116,7 @@ class Engine:
 
     def drop_table(self, name: str) -> None:
         m = self.table_metadata(name)
-        self._describe(name, m.schema, m.key_type, m.created_at, m.encrypted, "DROPPED")
+        self._describe(name, m.schema, m.key_type, m.created_at, m.encrypted, "DROPPED", m.folder)
         storage.discard(self.spark, self._path(name))
         self.spark.catalog.dropTempView(name)
         self._handles.pop(name, None)

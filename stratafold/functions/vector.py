@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import json
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratafold import storage
+
 METRICS = ("cosine", "euclidean", "dot")
 #: Defaults of an inverted file: its lists, and those that a search looks into first.
 CLUSTERS, PROBES = 256, 8
@@ -94,12 +97,15 @@ def usable(v: Column, dimensions: int) -> Column:
     return F.coalesce((F.size(v) == dimensions) & finite, F.lit(False))
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def half_precision(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def half_precision(a: pa.Array) -> pa.Array:
     """Vectors rounded to half precision, elements beyond its range to infinity."""
+    flat = a.flatten()
     with np.errstate(over="ignore"):
-        for s in batches:
-            yield s.map(lambda v: None if v is None else np.asarray(v, dtype=np.float32).astype(np.float16).astype(np.float32), na_action=None)
+        half = flat.to_numpy(zero_copy_only=False).astype(np.float16).astype(np.float32)
+    values = pa.array(half, mask=flat.is_null().to_numpy(zero_copy_only=False) if flat.null_count else None)
+    ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(a), 0).to_numpy()))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), values, mask=a.is_null() if a.null_count else None)
 
 
 def top_k(df: DataFrame, key: str, field: str, query: Sequence[float], k: int, metric: str = "cosine") -> DataFrame:
@@ -195,9 +201,26 @@ class InvertedFile:
         return nearest(v)
 
     def write(self, path: str) -> None:
-        """Write the lists, one folder for each centroid, so that a search reads only those it probes."""
-        self.lists.repartition("centroid").write.partitionBy("centroid").parquet(path)
-        self.lists = self.lists.sparkSession.read.parquet(path)
+        """Write the lists, a folder for each centroid, so that a search reads only those it probes, and what a search needs to
+        know of them. A list of more than its share of rows is cut by key, so that no task writes it alone."""
+        n = storage.spread(self.lists, 64 << 20)
+        self.lists.repartitionByRange(n, "centroid", self.key).write.partitionBy("centroid").parquet(f"{path}/lists")
+        spark = self.lists.sparkSession
+        self.lists = spark.read.schema(self.lists.schema).parquet(f"{path}/lists")
+        facts = {"key": self.key, "field": self.field, "metric": self.metric, "centroids": self.centroids.tolist(), "radii": [None if r == -np.inf else float(r) for r in self.radii()]}
+        storage.write_text(spark, f"{path}/FACTS", json.dumps(facts | {"schema": self.lists.schema.json()}))
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> InvertedFile:
+        """The inverted file that was written under ``path``."""
+        facts = json.loads(storage.read_text(spark, f"{path}/FACTS"))
+        out = InvertedFile.__new__(InvertedFile)
+        out.key, out.field, out.metric = facts["key"], facts["field"], facts["metric"]
+        out.centroids = np.array(facts["centroids"], dtype=np.float64)
+        out.clusters = len(facts["centroids"])
+        out._radii = np.array([-np.inf if r is None else r for r in facts["radii"]])
+        out.lists = spark.read.schema(T.StructType.fromJson(json.loads(facts["schema"]))).parquet(f"{path}/lists")
+        return out
 
     def search(self, query: Sequence[float], k: int, probes: int | None = None, removed: DataFrame | None = None) -> DataFrame:
         """(key, score) of the ``k`` best rows of the ``probes`` lists most similar to the query; without ``probes`` of all rows.

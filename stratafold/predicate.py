@@ -14,6 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratafold.crypto import FieldCipher
 from stratafold.functions import text, vector
 from stratafold.schema import ArrayOf, BoundedString, FieldType, Primitive, SchemaError, TableSchema, VectorOf
 
@@ -194,19 +195,42 @@ def nearest_nodes(p: Predicate) -> list[VectorNearest]:
     return list(dict.fromkeys(n for part in parts for n in nearest_nodes(part)))
 
 
-def column(p: Predicate, schema: TableSchema, members: dict[VectorNearest, Column] | None = None) -> Column:
-    """The predicate as a boolean column; ``members`` says how membership in each nearest set is told."""
+def leaves(p: Predicate) -> list[Predicate]:
+    """The comparisons, matches and nearest sets of a tree, each once."""
+    parts = p.parts if isinstance(p, (And, Or)) else [p.part] if isinstance(p, Not) else []
+    return list(dict.fromkeys(n for part in parts for n in leaves(part))) if parts else [p]
+
+
+def on_ciphertext(p: Predicate, cipher: FieldCipher, stored: Column) -> Column | None:
+    """A comparison told from ciphertexts; None where the field's scheme does not allow it."""
+    if isinstance(p, Eq):
+        return cipher.equal(stored, p.value)
+    if isinstance(p, Ne):
+        same = cipher.equal(stored, p.value)
+        return None if same is None else ~same
+    if isinstance(p, Between):
+        return cipher.between(stored, p.low, p.high)
+    if isinstance(p, (Gt, Gte)):
+        return cipher.between(stored, low=p.value, open_low=isinstance(p, Gt))
+    return cipher.between(stored, high=p.value, open_high=isinstance(p, Lt)) if isinstance(p, (Lt, Lte)) else None
+
+
+def column(p: Predicate, schema: TableSchema, members: dict[Predicate, Column] | None = None, ciphers: dict[str, tuple[FieldCipher, str]] | None = None) -> Column:
+    """The predicate as a boolean column; ``members`` says how membership in each nearest set, and in what an index found, is
+    told, ``ciphers`` which fields are compared as ciphertexts and in which columns these are."""
     if isinstance(p, (And, Or)):
-        out = column(p.parts[0], schema, members)
+        out = column(p.parts[0], schema, members, ciphers)
         for part in p.parts[1:]:
-            out = out & column(part, schema, members) if isinstance(p, And) else out | column(part, schema, members)
+            out = out & column(part, schema, members, ciphers) if isinstance(p, And) else out | column(part, schema, members, ciphers)
         return out
     if isinstance(p, Not):
-        return ~column(p.part, schema, members)
-    if isinstance(p, VectorNearest):
-        if members is None or p not in members:
-            raise PredicateError("nearest vectors are a set of rows, no condition on one row")
+        return ~column(p.part, schema, members, ciphers)
+    if members and p in members:
         return members[p]
+    if isinstance(p, VectorNearest):
+        raise PredicateError("nearest vectors are a set of rows, no condition on one row")
+    if ciphers and p.field in ciphers and (told := on_ciphertext(p, ciphers[p.field][0], F.col(ciphers[p.field][1]))) is not None:
+        return told
     if isinstance(p, IsNull):
         return F.col(p.field).isNotNull() if p.negated else F.col(p.field).isNull()
     if isinstance(p, FullTextMatch):
@@ -226,17 +250,18 @@ def nearest_keys(df: DataFrame, p: VectorNearest, key: str) -> DataFrame:
     return vector.top_k(df, key, p.field, p.query, p.top_k, p.metric).select(key)
 
 
-def select(df: DataFrame, p: Predicate, schema: TableSchema, key: str = "_key") -> DataFrame:
-    """The rows of ``df`` that match."""
+def select(df: DataFrame, p: Predicate, schema: TableSchema, key: str = "_key", lookups: dict[Predicate, DataFrame] | None = None, ciphers: dict[str, tuple[FieldCipher, str]] | None = None) -> DataFrame:
+    """The rows of ``df`` that match. ``lookups`` has the keys of the rows that some of the leaves select, found by indexes."""
     check(p, schema)
-    nodes = nearest_nodes(p)
-    if not nodes:
-        return df.where(column(p, schema))
-    if isinstance(p, VectorNearest):
-        return df.join(nearest_keys(df, p, key), key, "left_semi").select(*df.columns)
+    found = {n: keys for n in leaves(p) if (keys := (lookups or {}).get(n)) is not None}
+    found |= {n: nearest_keys(df, n, key) for n in nearest_nodes(p) if n not in found}
+    if not found:
+        return df.where(column(p, schema, None, ciphers))
+    if p in found:
+        return df.join(found[p].select(key), key, "left_semi").select(*df.columns)
     marked, members = df, {}
-    for i, node in enumerate(nodes):
-        mark = f"_near_{i}"
-        marked = marked.join(nearest_keys(df, node, key).withColumn(mark, F.lit(True)), key, "left")
+    for i, (node, keys) in enumerate(found.items()):
+        mark = f"_found_{i}"
+        marked = marked.join(keys.select(key, F.lit(True).alias(mark)), key, "left")
         members[node] = F.coalesce(F.col(mark), F.lit(False))
-    return marked.where(column(p, schema, members)).select(*df.columns)
+    return marked.where(column(p, schema, members, ciphers)).select(*df.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -19,7 +19,7 @@ class Clause:
 
     def _done(self, p: P.Predicate) -> Query:
         q = self._query
-        return Query(q.df, q.schema, q.key, p if self._join is None or q.tree is None else self._join((q.tree, p)))
+        return Query(q.df, q.schema, q.key, q.run, p if self._join is None or q.tree is None else self._join((q.tree, p)))
 
     def eq(self, value: Any) -> Query:
         return self._done(P.Eq(self._field, value))
@@ -55,8 +55,9 @@ class Query:
     Without a condition it selects nothing. Results have no order.
     """
 
-    def __init__(self, df: DataFrame, schema: TableSchema, key: str = "_key", tree: P.Predicate | None = None):
-        self.df, self.schema, self.key, self.tree = df, schema, key, tree
+    def __init__(self, df: DataFrame, schema: TableSchema, key: str = "_key", run: Callable[[P.Predicate], DataFrame] | None = None, tree: P.Predicate | None = None):
+        """``run`` is how a table selects rows, with its indexes; without it ``df`` is scanned."""
+        self.df, self.schema, self.key, self.run, self.tree = df, schema, key, run, tree
 
     def where(self, field: str) -> Clause:
         if self.tree is not None:
@@ -75,4 +76,4 @@ class Query:
     def execute(self) -> DataFrame:
         if self.tree is None:
             return self.df.limit(0)
-        return P.select(self.df, self.tree, self.schema, self.key)
+        return self.run(self.tree) if self.run else P.select(self.df, self.tree, self.schema, self.key)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -156,8 +156,8 @@ def _bound(p: Any, values: Sequence[Any]) -> Any:
     return p
 
 
-def execute(query: str | SqlQuery, df: DataFrame, schema: TableSchema | None = None, parameters: Sequence[Any] = (), strict: bool = True, key: str = "_key") -> DataFrame:
-    """Run a statement on ``df``.
+def execute(query: str | SqlQuery, df: DataFrame, schema: TableSchema | None = None, parameters: Sequence[Any] = (), strict: bool = True, key: str = "_key", run: Callable[[P.Predicate], DataFrame] | None = None) -> DataFrame:
+    """Run a statement on ``df``; ``run`` is how a table selects rows, with its indexes.
 
     Sorting comes before the projection, so unselected columns can be ordered by; nulls come last either way. The keys
     apply in the order written, distances among them. Rows that tie are in no defined order.
@@ -169,7 +169,8 @@ def execute(query: str | SqlQuery, df: DataFrame, schema: TableSchema | None = N
     if len(parameters) != query.parameters:
         raise SqlError(f"{query.parameters} parameters are wanted, {len(parameters)} given")
     if query.predicate is not None:
-        df = P.select(df, _bound(query.predicate, parameters), query.schema, key)
+        bound = _bound(query.predicate, parameters)
+        df = run(bound) if run else P.select(df, bound, query.schema, key)
     if query.order:
 
         def order(k: OrderKey) -> Column:

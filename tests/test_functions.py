@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stratafold import crypto, storage
 from stratafold.functions import text, vector
-from stratafold.schema import BOOLEAN, FLOAT32, FLOAT64, INT8, INT32, INT64, STRING, TIMESTAMP, ArrayOf, Field, ObjectOf, TableSchema
+from stratafold.schema import BOOLEAN, FLOAT32, FLOAT64, INT8, INT16, INT32, INT64, STRING, TIMESTAMP, ArrayOf, BoundedString, Field, ObjectOf, TableSchema, VectorOf
 from stratafold.sources import jsondocs
 
 STEMS = {
@@ -160,14 +160,57 @@ def test_keyword_index(spark):
     assert hmac.new(KEYS.derived("bio", "keyword"), b"world", hashlib.sha256).hexdigest() in tokens and len(tokens) == 4
 
 
+def test_envelopes_of_every_scheme(spark):
+    """Lengths as declared, values back, and null for changed bytes, other fields and unknown keys."""
+    r = np.random.default_rng(1)
+    data = [(i, f"t{i}", i - 20, "ab"[: i % 3], [float(x) for x in r.normal(size=16)]) for i in range(40)] + [(99, None, None, None, None)]
+    df = spark.createDataFrame(data, "id bigint, t string, n smallint, c string, v array<float>")
+    made = [Field("t", STRING, "DETERMINISTIC"), Field("t", STRING, "OPAQUE"), Field("n", INT16, "ORDER_PRESERVING"), Field("c", BoundedString(2), "ORDER_PRESERVING"), Field("v", VectorOf(16), "DISTANCE_PRESERVING")]
+    old = crypto.Keys(KEYS.versions, 1)
+    for field in made:
+        cipher, name = crypto.FieldCipher(field, old), field.name
+        enc = storage.materialise(df.select("id", name, cipher.encrypt(F.col(name)).alias("e")), "test")
+        assert enc.where("e IS NULL").count() == 1 and enc.where(crypto.valid_length(F.col("e"), field.encryption, 16)).count() == 40
+        anew = storage.materialise(crypto.rekey(enc, {"e": crypto.FieldCipher(field, KEYS)}, KEYS), "test")
+        for stored, version in ((enc, 1), (anew, 2)):
+            got = stored.select("id", name, crypto.FieldCipher(field, KEYS).decrypt(F.col("e")).alias("back"), crypto.version_of(F.col("e")).alias("version")).collect()
+            assert {x.version for x in got if x[name] is not None} == {version}
+            assert all(np.allclose(x.back, x[name], atol=1e-5) if name == "v" and x[name] else x.back == x[name] for x in got)
+        damaged = F.concat(F.substring(F.col("e"), F.lit(1), F.octet_length("e") - 20), F.lit(b"\x01"), F.substring(F.col("e"), F.octet_length("e") - 18, F.lit(19)))
+        other = crypto.FieldCipher(Field("other", field.type, field.encryption), KEYS)
+        strange = crypto.FieldCipher(field, crypto.Keys({3: b"m" * 32}))
+        assert enc.where(cipher.decrypt(damaged).isNotNull() & (damaged != F.col("e"))).count() == 0
+        assert enc.where(other.decrypt(F.col("e")).isNotNull() | strange.decrypt(F.col("e")).isNotNull()).count() == 0
+    for bad in (Field("x", INT64, "ORDER_PRESERVING"), Field("x", STRING, "DISTANCE_PRESERVING"), Field("x", BoundedString(3), "ORDER_PRESERVING")):
+        with pytest.raises(crypto.CryptoError):
+            crypto.FieldCipher(bad, KEYS)
+
+
 def test_blurred_neighbours(spark):
     r = np.random.default_rng(1)
     data = [(i, [float(x) for x in r.normal(size=16)]) for i in range(200)]
     df = spark.createDataFrame(data, "id bigint, v array<float>")
-    blurred = df.select("id", crypto.blurred(F.col("v"), "v", KEYS).alias("v"))
-    q = blurred.where("id = 7").first().v
-    near = {x.id for x in vector.top_k(df, "id", "v", data[7][1], 5, "euclidean").collect()}
+    cipher = crypto.FieldCipher(Field("v", VectorOf(16), "DISTANCE_PRESERVING"), KEYS)
+    blurred = storage.materialise(df.select("id", cipher.encrypt(F.col("v")).alias("v")), "test").select("id", cipher.nearby(F.col("v")).alias("v"))
+    q = data[7][1]
+    near = {x.id for x in vector.top_k(df, "id", "v", q, 5, "euclidean").collect()}
     assert len(near & {x.id for x in vector.top_k(blurred, "id", "v", q, 5, "euclidean").collect()}) >= 4
+    assert blurred.where("id = 7").first().v != df.where("id = 7").first().v
+
+
+class Vault(crypto.KeyProvider):
+    def versions(self):
+        return [3, 4]
+
+    def key(self, version):
+        return bytes([version]) * 32
+
+
+def test_keys_of_a_provider():
+    keys = crypto.Keys(Vault(), 3)
+    assert keys.current == 3 and keys.rotated(b"z" * 32).current == 5 and set(keys.pruned({4}).versions) == {3, 4} and set(keys.pruned(set()).versions) == {3}
+    with pytest.raises(crypto.CryptoError):
+        keys.pruned({9})
 
 
 @pytest.mark.parametrize("bad", ['{"a":1,"a":2}', '{" ":1}', '{"":1}', "[1,]", "{} x", "01", "NaN", "[Infinity]", '"\\ud800"', "", "{'a':1}", "[" * 300 + "]" * 300])

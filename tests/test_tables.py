@@ -1,12 +1,15 @@
 import pytest
 from pyspark.sql import functions as F
 
+from stratafold import predicate as P
 from stratafold import storage
+from stratafold.crypto import CryptoError, Keys
 from stratafold.engine import Engine, TableExistsError, TableNotFoundError
 from stratafold.operators import partitioning, versions
-from stratafold.schema import BOOLEAN, FLOAT16, FLOAT32, INT32, INT64, STRING, ArrayOf, BoundedString, Field, ObjectOf, SchemaError, TableSchema, VectorOf
+from stratafold.schema import BOOLEAN, FLOAT16, FLOAT32, INT16, INT32, INT64, STRING, ArrayOf, BoundedString, Field, ObjectOf, SchemaError, TableSchema, VectorOf
 from stratafold.table import DuplicateKeyError, KeyNotFoundError, Table, UniqueViolationError
 
+KEYS = Keys({1: b"k" * 32, 2: b"l" * 32})
 USERS = TableSchema("users", 1, (Field("name", STRING), Field("age", INT32), Field("email", STRING)))
 ROWS = "_key string, name string, age int, email string"
 
@@ -84,7 +87,7 @@ def test_unique_index(spark, table):
 
 def test_index_declarations(spark):
     schema = TableSchema("t", 1, (Field("s", STRING), Field("flag", BOOLEAN), Field("v", VectorOf(3)), Field("n", INT32), Field("secret", STRING, "OPAQUE"), Field("det", STRING, "DETERMINISTIC")))
-    t = Table(spark, storage.workspace(spark, "test-table"), schema)
+    t = Table(spark, storage.workspace(spark, "test-table"), schema, keys=KEYS)
     for field, kind, metric in (("s", "EQUALITY", None), ("n", "RANGE", None), ("s", "FULL_TEXT", None), ("v", "VECTOR", "dot"), ("det", "EQUALITY", None), ("det", "FULL_TEXT", None)):
         t.create_index(field, kind, metric)
     for field, kind, metric in (("flag", "EQUALITY", None), ("v", "RANGE", None), ("n", "FULL_TEXT", None), ("v", "VECTOR", None), ("s", "VECTOR", "dot"), ("secret", "EQUALITY", None), ("det", "RANGE", None), ("nope", "RANGE", None), ("s", "HASH", None)):
@@ -130,7 +133,7 @@ def test_schemas():
 
 
 def test_engine(spark):
-    engine = Engine(spark, storage.workspace(spark, "test-engine"))
+    engine = Engine(spark, storage.workspace(spark, "test-engine"), KEYS)
     assert engine.list_tables() == []
     t = engine.create_table("users", USERS)
     t.create(frame(spark, ("a", "Alice", 30, None)))
@@ -145,7 +148,9 @@ def test_engine(spark):
     assert (m.encrypted, m.key_type, m.schema.field("email").encryption, m.state) == (True, "bigint", "OPAQUE", "READY")
     grown = engine.evolve_table("users", (Field("rank", INT64),))
     assert rows(grown.current()) == [("a", "Alice", 30, None, None)]
-    engine.enable_encryption("users")
+    engine.enable_encryption("users", {"email": "OPAQUE"})
+    with pytest.raises(CryptoError):
+        engine.enable_encryption("users", {"email": "DETERMINISTIC"})
     assert engine.table_metadata("users").encrypted
     engine.register("users")
     assert spark.sql("SELECT name FROM users").first().name == "Alice"
@@ -157,6 +162,119 @@ def test_engine(spark):
             engine.get_table(missing)
 
 
+def everything(spark, path):
+    """All bytes of the files below a folder."""
+    place, fs = storage._hadoop(spark, path)
+    files, out = fs.listFiles(place, True), b""
+    while files.hasNext():
+        name = files.next().getPath().toString()
+        out += open(name.split(":", 1)[1], "rb").read()
+        if name.endswith(".parquet"):
+            for row in spark.read.parquet(name).collect():
+                out += repr(row.asDict()).encode()
+    return out
+
+
+SECRETS = TableSchema("secrets", 1, (Field("mail", STRING), Field("size", INT16), Field("note", STRING), Field("bio", STRING), Field("v", VectorOf(4)), Field("tags", ArrayOf(STRING)), Field("code", BoundedString(2))))
+SCHEMES = {"mail": "DETERMINISTIC", "size": "ORDER_PRESERVING", "note": "OPAQUE", "bio": "DETERMINISTIC", "v": "DISTANCE_PRESERVING", "tags": "OPAQUE", "code": "ORDER_PRESERVING"}
+SECRET_ROWS = "_key string, mail string, size smallint, note string, bio string, v array<float>, tags array<string>, code string"
+
+
+def secret_frame(spark, n=40):
+    made = [(f"k{i:02d}", f"secret{i}@x", i - 20, f"hidden{i}", f"word{i % 7} common", [float(i), 1.0, -2.0, float(i * i % 11)], [f"tagged{i}", "y"], "abcdefgh"[i % 8] + ("" if i % 3 else "z")) for i in range(n)]
+    return spark.createDataFrame([*made, ("none", *[None] * 7)], SECRET_ROWS)
+
+
+NEAR = P.VectorNearest("v", (3.0, 1.0, -2.0, 9.0), 4, "euclidean")
+ASKED = [
+    P.Eq("mail", "secret7@x"), P.Ne("mail", "secret7@x"), P.Eq("mail", "nobody"), P.Eq("size", -3), P.Gt("size", -3), P.Gte("size", 5), P.Lt("size", -15), P.Lte("size", -15), P.Between("size", -4, 4), P.Gt("size", 5.5), P.Lt("size", -18.5),
+    P.Eq("note", "hidden5"), P.FullTextMatch("bio", "word3"), P.FullTextMatch("bio", "common") & P.Lt("size", -10), P.Eq("mail", "secret2@x") | P.Between("size", 17, 30), P.Gt("note", "hidden8"), P.Gte("code", "c"), P.Lt("code", "bz"), P.Eq("code", "a"), P.Between("code", "b", "d"),
+]
+
+
+def test_encrypted_tables_answer_as_plain_ones_and_hold_no_plain_bytes(spark):
+    root = storage.workspace(spark, "test-engine")
+    engine = Engine(spark, root, KEYS)
+    plain, secret = engine.create_table("plain", SECRETS), engine.create_encrypted_table("secret", SECRETS, SCHEMES)
+    for t in (plain, secret):
+        t.create(secret_frame(spark))
+        t.create_index("bio", "FULL_TEXT")
+        t.create_index("size", "RANGE")
+        t.create_index("mail", "UNIQUE")
+    later = secret_frame(spark).where("_key IN ('k03', 'k05')").withColumn("size", F.lit(-15).cast("smallint")).withColumn("bio", F.lit("word3 late"))
+    for t in (plain, secret):
+        t.update(later)
+        t.delete(later.limit(0).select("_key").unionByName(spark.createDataFrame([("k10",)], "_key string")))
+    again = engine.get_table("secret")
+    for step in range(2):
+        for p in ASKED:
+            assert sorted(r._key for r in again.select(p).collect()) == sorted(r._key for r in plain.select(p).collect()), p
+        assert {r._key for r in again.select(NEAR).collect()} == {r._key for r in plain.select(NEAR).collect()}
+        assert rows(again.current().drop("v")) == rows(plain.current().drop("v"))
+        bytes_ = everything(spark, f"{root}/secret/data")
+        assert not any(w in bytes_ for w in (b"secret7", b"hidden7", b"word3", b"common", b"tagged"))
+        with pytest.raises(UniqueViolationError):
+            again.create(secret_frame(spark).where("_key = 'k01'").withColumn("_key", F.lit("other")))
+        again.compact()
+        plain.compact()
+    wrong = Table(spark, again.path, again.schema, keys=Keys({2: b"w" * 32}))
+    assert wrong.current().where("mail IS NOT NULL OR size IS NOT NULL OR v IS NOT NULL OR tags IS NOT NULL").count() == 0
+
+
+def test_encryption_of_a_table_with_rows(spark):
+    root = storage.workspace(spark, "test-engine")
+    engine = Engine(spark, root, Keys({1: b"k" * 32}))
+    t = engine.create_table("t", SECRETS)
+    t.create(secret_frame(spark))
+    t.create_index("bio", "FULL_TEXT")
+    before = rows(t.current().drop("v"))
+    t = engine.enable_encryption("t", {"bio": "DETERMINISTIC", "note": "OPAQUE", "size": "ORDER_PRESERVING"})
+    assert rows(t.current().drop("v")) == before and engine.table_metadata("t").encrypted
+    found = everything(spark, f"{root}/t")
+    assert b"hidden7" not in found and b"word3" not in found and b"secret7" in found
+    rotated = Engine(spark, root, Keys({1: b"k" * 32}).rotated(b"n" * 32))
+    t = rotated.get_table("t")
+    t.create(secret_frame(spark).where("_key = 'k01'").withColumn("_key", F.lit("new")))
+    assert {r._key for r in t.select(P.Between("size", -20, -18)).collect()} == {"k00", "k01", "k02", "new"}
+    assert {r._key for r in t.select(P.FullTextMatch("bio", "word1")).collect()} >= {"k01", "new"}
+    t.compact(rekey=True)
+    kept = Engine(spark, root, rotated.keys.pruned({2})).get_table("t")
+    assert kept.current().where("note IS NOT NULL").count() == 41 and {r._key for r in kept.select(P.FullTextMatch("bio", "word1")).collect()} >= {"k01", "new"}
+    with pytest.raises(CryptoError):
+        Engine(spark, root).get_table("t")
+
+
+def test_indexes_outlive_handles_and_follow_changes(spark):
+    engine = Engine(spark, storage.workspace(spark, "test-engine"))
+    t = engine.create_table("t", SECRETS)
+    t.create(secret_frame(spark))
+    for field, kind, metric in (("bio", "FULL_TEXT", None), ("size", "RANGE", None), ("mail", "EQUALITY", None), ("v", "VECTOR", "euclidean"), ("note", "UNIQUE", None)):
+        t.create_index(field, kind, metric)
+    t = engine.get_table("t")
+    near = [P.VectorNearest("v", (float(i), 1.0, -2.0, 5.0), 6, "euclidean") for i in range(0, 40, 9)]
+    every = [*ASKED, *near, near[0] & P.Gt("size", -18), near[1] | P.Eq("mail", "secret30@x")]
+
+    def scanned(p):
+        return sorted(r._key for r in P.select(t.current(), p, SECRETS).collect())
+
+    for step in range(3):
+        for p in every:
+            assert sorted(r._key for r in t.select(p).collect()) == scanned(p), p
+        if step == 0:
+            moved = secret_frame(spark).where("_key < 'k12'").withColumn("bio", F.lit("word5")).withColumn("v", F.array(*[F.lit(x).cast("float") for x in (9.0, 1.0, -2.0, 5.0)])).withColumn("size", F.lit(3).cast("smallint"))
+            t.update(moved)
+            t.delete(spark.createDataFrame([("k20",), ("k21",)], "_key string"))
+        else:
+            t.compact()
+    assert t.index_for(P.Eq("mail", "x")).kind == "EQUALITY" and t.index_for(P.Lt("mail", "x")) is None and t.index_for(P.FullTextMatch("bio", "x")).kind == "FULL_TEXT"
+    plan = t._lookup(P.FullTextMatch("bio", "word3"))._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" in plan and "regexp_replace" not in plan
+    with pytest.raises(UniqueViolationError):
+        engine.get_table("t").create(secret_frame(spark).where("_key = 'k30'").withColumn("_key", F.lit("other")))
+    t.drop_index("note", "UNIQUE")
+    engine.get_table("t").create(secret_frame(spark).where("_key = 'k30'").withColumn("_key", F.lit("other")))
+
+
 def test_newest_wins(spark):
     log = spark.createDataFrame([("a", 1, "P", "x"), ("a", 3, "P", "z"), ("a", 2, "D", None), ("b", 1, "P", "q"), ("b", 2, "D", None), ("c", 5, "P", None)], "_key string, _seq bigint, _op string, v string")
     assert sorted((r._key, r.v) for r in versions.newest(log).collect()) == [("a", "z"), ("c", None)]
