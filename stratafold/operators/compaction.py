@@ -13,13 +13,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stratafold import storage
 
 SMALL_BYTES = 16_384
-TARGET_BYTES = 1 << 20
+TARGET_BYTES = 128 << 20
 #: Files that one scheduling task deals out; a larger (partition, level) is cut into several such shards.
 SHARD_FILES = 50_000
 ROW_GROUP = 65_536
@@ -77,23 +77,32 @@ def _group_key() -> Column:
     return F.concat_ws("-", F.concat(F.lit("p"), part("partition_id")), F.concat(F.lit("L"), part("lsm_level")), F.col("shard").cast("string"), F.col("slot").cast("string"))
 
 
-def owned_records(plan: DataFrame, manifest: DataFrame, entries: DataFrame) -> DataFrame:
-    """Each record of a (partition, level) once, with the group that is to hold it.
+def planned_files(plan: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Every file with its place and, if it is to be replaced, its group."""
+    grouped = plan.select("sstable_id", _group_key().alias("group_key"))
+    return distinct_files(manifest).join(grouped, "sstable_id", "left").select("sstable_id", "partition_id", "lsm_level", "group_key")
+
+
+def owned_records(files: DataFrame, entries: DataFrame) -> DataFrame:
+    """Each record of a (partition, level) once, with the group that is to hold it; ``files`` as ``planned_files`` gives them.
 
     Where copies of a record lie in several files, a file that stays as it is keeps it, else the first group does.
     The key of a record is (entry_key, sequence_number); null keys or numbers are values like any other.
     """
-    files = (
-        distinct_files(manifest)
-        .join(plan.select("sstable_id", _group_key().alias("group_key")), "sstable_id", "left")
-        .select("sstable_id", "partition_id", "lsm_level", "group_key")
-    )
     held = entries.select("sstable_id", "entry_key", "sequence_number", "kind", "value_bytes").join(files, "sstable_id")
     first = F.min(F.struct(F.coalesce("group_key", F.lit("")).alias("g"), "sstable_id", "kind", "value_bytes"))
     one = held.groupBy("partition_id", "lsm_level", "entry_key", "sequence_number").agg(first.alias("r"))
     return one.where(F.col("r.g") != "").select(F.col("r.g").alias("group_key"), "entry_key", "sequence_number", F.col("r.kind").alias("kind"), F.col("r.value_bytes").alias("value_bytes"))
 
 
+def pyarrow_uri(folder: str) -> str:
+    """The folder's URI under the names that pyarrow has for file systems."""
+    scheme, mark, rest = folder.partition("://")
+    if not mark:
+        return folder
+    return f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{rest}"
+
+
 def _stream_groups(folder: str):
     """Writes the runs of equal group keys that arrive in order, one file each, a row group at a time."""
 
@@ -101,9 +110,9 @@ def _stream_groups(folder: str):
         import pyarrow.parquet as pq
         from pyarrow import fs
 
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = fs.FileSystem.from_uri(pyarrow_uri(folder))
         store.create_dir(base, recursive=True)
-        group, writer, facts, held = None, None, None, []
+        group, sink, writer, facts, held = None, None, None, None, []
 
         def flush() -> None:
             nonlocal held
@@ -117,6 +126,7 @@ def _stream_groups(folder: str):
                 return None
             flush()
             writer.close()
+            sink.close()
             writer = None
             return pa.RecordBatch.from_pydict({k: [v] for k, v in facts.items()})
 
@@ -137,7 +147,8 @@ def _stream_groups(folder: str):
                     group = key
                     # every attempt of a task writes a name of its own; the manifest names those of the attempt that counted
                     path = f"{base}/{key}-{uuid.uuid4().hex}.parquet"
-                    writer = pq.ParquetWriter(store.open_output_stream(path), _RECORD, compression="zstd")
+                    sink = store.open_output_stream(path)
+                    writer = pq.ParquetWriter(sink, _RECORD, compression="zstd")
                     facts = {"group_key": key, "path": path, "rows": 0, "smallest_key": None, "largest_key": None, "min_sequence": None, "max_sequence": None}
                 part = batch.slice(start, stop - start).select(_RECORD.names).cast(_RECORD)
                 held.append(part)
@@ -162,10 +173,14 @@ def _stream_groups(folder: str):
     return write
 
 
-def _fingerprint(records: DataFrame) -> tuple[int, int]:
+def _marks() -> list[Column]:
     """Count and order-free checksum of records."""
     mark = F.xxhash64("entry_key", "sequence_number", "kind", "value_bytes").cast("decimal(38,0)")
-    row = records.agg(F.count("*").alias("n"), F.coalesce(F.sum(mark), F.lit(0)).alias("s")).first()
+    return [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(mark), F.lit(0)).alias("s")]
+
+
+def _fingerprint(records: DataFrame) -> tuple[int, int]:
+    row = records.agg(*_marks()).first()
     return int(row["n"]), int(row["s"])
 
 
@@ -185,22 +200,28 @@ def compact(manifest: DataFrame, entries: DataFrame, root: str | None = None, sm
     """
     spark = manifest.sparkSession
     root = root or storage.workspace(spark, "compaction")
-    plan = storage.materialise(plan_groups(manifest, small_bytes, target_bytes), "compaction-plan")
-    records = storage.materialise(owned_records(plan, manifest, entries), "compaction-records")
+    scratch = storage.Scratch(spark, "compaction")
+    plan = scratch.keep(plan_groups(manifest, small_bytes, target_bytes), "plan")
+    # observed by the tasks that write, each of which counts once however often it is tried
+    seen = Observation()
+    files = scratch.keep(planned_files(plan, manifest), "files")
+    records = scratch.keep(owned_records(files, entries).observe(seen, *_marks()), "records")
+    wanted = int(seen.get["n"]), int(seen.get["s"])
     staged = storage.workspace(spark, "compaction-data")
     n = storage.spread(records, 16 << 20)
     ordered = records.repartition(n, "group_key").sortWithinPartitions("group_key", "entry_key", F.col("sequence_number").desc())
-    written = storage.materialise(ordered.mapInArrow(_stream_groups(staged), _WRITTEN), "compaction-written")
+    written = scratch.keep(ordered.mapInArrow(_stream_groups(staged), _WRITTEN), "written")
     written = written.withColumn("file_name", F.element_at(F.split("path", "/"), -1)).drop("path")
     anything = storage.exists(spark, staged)
     back = _of_files(spark, staged, written) if anything else records.limit(0)
-    if (wanted := _fingerprint(records)) != (found := _fingerprint(back)):
+    if wanted != (found := _fingerprint(back)):
         raise VerificationError(f"records and checksum {wanted} were to be written, {found} were")
     inputs = storage.workspace(spark, "compaction-inputs")
     plan.withColumn("group_key", _group_key()).write.parquet(inputs)
     outputs = storage.workspace(spark, "compaction-outputs")
     written.write.parquet(outputs)
     storage.publish(spark, root, {"inputs": inputs, "outputs": outputs} | ({"data": staged} if anything else {}), {"records": wanted[0]})
+    scratch.clear()
     return root
 
 

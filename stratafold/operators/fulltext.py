@@ -77,9 +77,10 @@ class TextIndex:
         return TextIndex(text.postings(df, key, *fields, analyser=lambda c: text.analyse(c, stop, stemmed)), key, stop, stemmed)
 
     def write(self, path: str) -> TextIndex:
-        """Store the postings ordered by term, so that a search reads the few row groups that can hold its terms."""
+        """Store the postings ordered by term, so that a search reads the few row groups that can hold its terms. The key takes
+        part in the ranges, so a term of very many rows fills several."""
         n = storage.spread(self.postings, 64 << 20)
-        self.postings.repartitionByRange(n, "field", "term").sortWithinPartitions("field", "term").write.parquet(path)
+        self.postings.repartitionByRange(n, "field", "term", self.key).sortWithinPartitions("field", "term", self.key).write.parquet(path)
         return TextIndex(self.postings.sparkSession.read.parquet(path), self.key, self.stop, self.stemmed)
 
     def updated(self, removed: DataFrame | None, added: DataFrame | None, *fields: str) -> TextIndex:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratafold import storage
 from stratafold.operators.versions import in_range
 
 
@@ -64,8 +65,10 @@ class RangePartitions:
         return df.withColumn(column, self.route(F.col(key)))
 
     def write(self, df: DataFrame, key: str, path: str) -> None:
-        """Write ``df`` with a folder for each range, ordered by key, so that scans read only the ranges they touch."""
-        self.assigned(df, key).repartition("partition_id").sortWithinPartitions(key).write.partitionBy("partition_id").parquet(path)
+        """Write ``df`` with a folder for each range, ordered by key, so that scans read only the ranges they touch. A range that
+        holds most rows is written by several tasks, since the key takes part in the shuffle."""
+        n = max(len(self.ids), storage.spread(df, 64 << 20))
+        self.assigned(df, key).repartitionByRange(n, "partition_id", key).sortWithinPartitions("partition_id", key).write.partitionBy("partition_id").parquet(path)
 
     def scan(self, df: DataFrame, key: str, low: Any, high: Any, column: str = "partition_id") -> DataFrame:
         """Rows of [low, high) in key order; ``df`` has the column of range ids, which prunes folders."""

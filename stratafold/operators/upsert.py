@@ -8,6 +8,8 @@ start from the published state. All buckets are published together by one rename
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -73,12 +75,15 @@ def valid_changes(deliveries: DataFrame) -> DataFrame:
 
 
 def _database():
+    """A database in the task's memory. What does not fit spills to where the task's shuffle data spills, which goes with the executor."""
     import duckdb
 
-    return duckdb.connect(":memory:", config={"threads": 1, "memory_limit": BUCKET_MEMORY, "temp_directory": "", "preserve_insertion_order": False})
+    scratch = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+    spill = f"{scratch}/duckdb-{uuid.uuid4().hex}" if scratch else ""
+    return duckdb.connect(":memory:", config={"threads": 1, "memory_limit": BUCKET_MEMORY, "temp_directory": spill, "preserve_insertion_order": False})
 
 
-def _reduce_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def reduce_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Map side: one row of each key for each batch, so that a hot key costs a row a batch in the shuffle."""
     with _database() as db:
         for batch in batches:
@@ -88,7 +93,7 @@ def _reduce_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 db.unregister("incoming")
 
 
-def _upsert_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def upsert_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reduce side: the state of one bucket in an embedded database."""
     with _database() as db:
         db.execute(_CREATE)
@@ -114,9 +119,9 @@ def apply_changes(deliveries: DataFrame, root: str | None = None, state: DataFra
     if state is not None:
         changes = changes.unionByName(state.select(*_FIELDS))
     n = buckets or storage.spread(changes, BUCKET_BYTES)
-    reduced = changes.mapInArrow(_reduce_batches, STATE).repartition(n, "table_name", "entry_key")
+    reduced = changes.mapInArrow(reduce_batches, STATE).repartition(n, "table_name", "entry_key")
     staged = storage.workspace(spark, "state-staged")
-    reduced.mapInArrow(_upsert_bucket, STATE).write.parquet(staged)
+    reduced.mapInArrow(upsert_bucket, STATE).write.parquet(staged)
     storage.publish(spark, root, {"state": staged}, {"buckets": n})
     return spark.read.schema(STATE).parquet(storage.published(spark, root, "state"))
 

@@ -59,7 +59,7 @@ def parse_strict(text: str, max_depth: int = MAX_DEPTH) -> Any:
     """A JSON value; repeated or blank keys, numbers such as NaN, lone surrogates and deep nesting are refused."""
     if not 1 <= max_depth <= DEPTH_LIMIT:
         raise JsonError(f"depths are 1 to {DEPTH_LIMIT}")
-    if _deep(text) > max_depth:
+    if text.count("[") + text.count("{") > max_depth and _deep(text) > max_depth:
         raise JsonError(f"nested deeper than {max_depth}")
     try:
         value = json.loads(text, object_pairs_hook=_pairs, parse_constant=_constant)
@@ -189,3 +189,55 @@ def member(column: Column, name: str) -> Column:
 def keys(column: Column) -> Column:
     """The keys of a JSON object."""
     return F.json_object_keys(column)
+
+
+#: Kinds of numbers that a JSON value can be read as.
+NUMBERS = {"int": "int", "long": "bigint", "double": "double", "decimal": "decimal(38,10)"}
+
+
+def number_at(column: Column, kind: str, path: str = "$", strict: bool = False) -> Column:
+    """The JSON number at a path as int, long, double or decimal. What is no number, has a fraction where whole numbers are wanted or is out of
+    range gives null, or with ``strict`` an error; an absent value is null either way."""
+    if kind not in NUMBERS:
+        raise ValueError(f"unknown kind {kind}")
+    value = F.try_parse_json(column)
+    at = F.try_variant_get(value, path, "variant")
+    exact = F.try_variant_get(value, path, "decimal(38,10)")
+    fits = F.schema_of_variant(at).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
+    if kind in ("int", "long"):
+        fits = fits & (exact == F.floor(exact))
+    found = F.when(fits, F.try_variant_get(value, path, NUMBERS[kind]))
+    wrong = F.schema_of_variant(at) != "VOID"
+    return F.when(found.isNull() & wrong, F.raise_error(F.concat(F.lit(f"{path} is no {kind}: "), at.cast("string")))).otherwise(found) if strict else found
+
+
+def text_at(column: Column, path: str = "$") -> Column:
+    """The JSON string at a path; null for values of other kinds."""
+    at = F.try_variant_get(F.try_parse_json(column), path, "variant")
+    return F.when(F.schema_of_variant(at) == "STRING", at.cast("string"))
+
+
+def boolean_at(column: Column, path: str = "$") -> Column:
+    """The JSON boolean at a path; null for values of other kinds."""
+    at = F.try_variant_get(F.try_parse_json(column), path, "variant")
+    return F.when(F.schema_of_variant(at) == "BOOLEAN", at.cast("boolean"))
+
+
+def elements_at(column: Column, path: str = "$") -> Column:
+    """The elements of the JSON array at a path, each as JSON text; null for values of other kinds."""
+    return F.transform(F.try_variant_get(F.try_parse_json(column), path, "array<variant>"), lambda x: F.to_json(x))
+
+
+def array_size(column: Column, path: str = "$") -> Column:
+    """The number of elements of the JSON array at a path; null for values of other kinds."""
+    return F.nullif(F.size(elements_at(column, path)), F.lit(-1))
+
+
+def array_get(column: Column, index: int, path: str = "$") -> Column:
+    """An element, counted from 0, of the JSON array at a path as JSON text; null beyond its end and for values of other kinds."""
+    return F.get(elements_at(column, path), index)
+
+
+def array_stream(df: DataFrame, column: str, *keep: str, path: str = "$") -> DataFrame:
+    """A row (keep, at, element) for every element of the JSON arrays of a column, in their order."""
+    return df.select(*keep, F.posexplode(elements_at(F.col(column), path)).alias("at", "element"))

@@ -267,3 +267,21 @@ def test_members(spark):
     df = spark.createDataFrame([('{"a":{"b":1},"c d":[1]}',), ("no json",), (None,)], "j string")
     got = [(r.a, r.c, r.k) for r in df.select(jsondocs.member(F.col("j"), "a").alias("a"), jsondocs.member(F.col("j"), "c d").alias("c"), jsondocs.keys(F.col("j")).alias("k")).collect()]
     assert got == [('{"b":1}', "[1]", ["a", "c d"]), (None, None, None), (None, None, None)]
+
+
+def test_json_accessors(spark):
+    texts = ['{"a": 5, "b": 2.5, "c": "7", "d": [1, "x", {"y": null}], "e": true, "f": null, "g": 99999999999}', "[]", "no json", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, j string")
+    j = F.col("j")
+    got = df.select(
+        "id", jsondocs.number_at(j, "int", "$.a").alias("a"), jsondocs.number_at(j, "int", "$.b").alias("b_int"), jsondocs.number_at(j, "double", "$.b").alias("b"), jsondocs.number_at(j, "int", "$.c").alias("c"),
+        jsondocs.number_at(j, "int", "$.g").alias("g_int"), jsondocs.number_at(j, "long", "$.g").alias("g"), jsondocs.text_at(j, "$.c").alias("text"), jsondocs.text_at(j, "$.a").alias("no_text"), jsondocs.boolean_at(j, "$.e").alias("e"),
+        jsondocs.number_at(j, "int", "$.f").alias("f"), jsondocs.array_size(j, "$.d").alias("n"), jsondocs.array_get(j, 2, "$.d").alias("third"), jsondocs.array_get(j, 3, "$.d").alias("fourth"), jsondocs.array_size(j).alias("top"),
+    ).orderBy("id").collect()
+    assert tuple(got[0])[1:] == (5, None, 2.5, None, None, 99999999999, "7", None, True, None, 3, '{"y":null}', None, None)
+    assert got[1].top == 0 and all(x is None for x in tuple(got[2])[1:]) and all(x is None for x in tuple(got[3])[1:])
+    assert [(r.id, r.at, r.element) for r in jsondocs.array_stream(df, "j", "id", path="$.d").collect()] == [(0, 0, "1"), (0, 1, '"x"'), (0, 2, '{"y":null}')]
+    assert df.where("id = 0").select(jsondocs.number_at(j, "int", "$.a", strict=True).alias("n")).first().n == 5
+    for path in ("$.b", "$.c", "$.g"):
+        with pytest.raises(Exception, match="is no int"):
+            df.where("id = 0").select(jsondocs.number_at(j, "int", path, strict=True)).collect()

@@ -95,3 +95,19 @@ def test_stream_equals_batch_in_any_order(spark, tmp_path):
     root = storage.workspace(spark, "test-stream")
     assert state_of(feed.apply_stream(feed.file_stream(spark, str(tmp_path / "feed"), 1), root)) == want
     assert state_of(feed.apply_stream(feed.file_stream(spark, str(tmp_path / "feed"), 1), root)) == want
+
+
+def test_stream_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    root = storage.workspace(spark, "test-stream")
+    path = str(tmp_path / "feed")
+    feed_of(spark, [(i, "t", f"k{i}", "put", "x", 1) for i in range(200)]).write.parquet(path)
+    feed.apply_stream(feed.file_stream(spark, path), root, buckets=8)
+    first = feed.BucketedState(spark, root)._facts()["folders"]
+    feed_of(spark, [(500, "t", "k7", "delete", None, 2)]).write.mode("append").parquet(path)
+    state = feed.apply_stream(feed.file_stream(spark, path), root, buckets=8)
+    second = feed.BucketedState(spark, root)._facts()
+    assert len(first) == 8 and sum(first[b] != second["folders"][b] for b in first) == 1 and len(second["left"]) == 1
+    assert state_of(state) == {("t", f"k{i}"): (2, True, None) if i == 7 else (1, False, "x") for i in range(200)}
+    feed_of(spark, [(501, "t", "k7", "put", "y", 3)]).write.mode("append").parquet(path)
+    assert state_of(feed.apply_stream(feed.file_stream(spark, path), root))["t", "k7"] == (3, False, "y")
+    assert not storage.exists(spark, f"{root}/{second['left'][0]}")
