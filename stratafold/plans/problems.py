@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stratafold import storage
 from stratafold.operators import compaction, upsert
@@ -29,9 +30,13 @@ def p4_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_outputs(spark: SparkSession, d: str) -> DataFrame:
-    """The files that a compaction writes, with the range they cover."""
+    """What a compaction writes for each partition and level: records, and the range they cover."""
     root, _, _ = _compacted(spark, d)
-    return spark.read.parquet(storage.published(spark, root, "outputs")).select("group_key", "rows", "smallest_key", "largest_key", "min_sequence", "max_sequence")
+    place = F.concat_ws("-", F.split_part("group_key", F.lit("-"), F.lit(1)), F.split_part("group_key", F.lit("-"), F.lit(2)))
+    files = spark.read.parquet(storage.published(spark, root, "outputs")).groupBy(place.alias("place"))
+    return files.agg(
+        F.sum("rows").alias("records"), F.min("smallest_key").alias("smallest_key"), F.max("largest_key").alias("largest_key"), F.min("min_sequence").alias("min_sequence"), F.max("max_sequence").alias("max_sequence")
+    )
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -64,6 +69,14 @@ SELECT sstable_id FROM small WHERE n > 1""",
 WITH {_FILES}
 SELECT DISTINCT partition_id, lsm_level, entry_key, sequence_number, kind, value_bytes
 FROM sstable_entries JOIN files USING (sstable_id)""",
+    "p4_outputs": f"""
+WITH {_FILES}, small AS (
+    SELECT sstable_id, count(*) OVER (PARTITION BY partition_id, lsm_level) AS n FROM files WHERE size_bytes < {compaction.SMALL_BYTES}),
+held AS (
+    SELECT partition_id, lsm_level, entry_key, sequence_number, bool_and(sstable_id IN (SELECT sstable_id FROM small WHERE n > 1)) AS moved
+    FROM sstable_entries JOIN files USING (sstable_id) GROUP BY ALL)
+SELECT 'p' || coalesce(partition_id::VARCHAR, 'null') || '-L' || coalesce(lsm_level::VARCHAR, 'null') AS place, count(*) AS records, min(entry_key) AS smallest_key, max(entry_key) AS largest_key,
+       min(sequence_number) AS min_sequence, max(sequence_number) AS max_sequence FROM held WHERE moved GROUP BY 1""",
     "p5_found": f"WITH {_VALID} SELECT table_name, entry_key, sequence_number FROM newest WHERE op = 'put'",
     "p5_state": f"""
 WITH {_VALID}

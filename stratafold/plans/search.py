@@ -181,6 +181,7 @@ _has_sql = lambda *terms: " AND ".join(f"doc_id IN (SELECT doc_id FROM terms WHE
 _IVF = f"""{_E},
 c AS (SELECT vec_id AS key, row_number() OVER (ORDER BY vec_id) - 1 AS centroid, v AS cv FROM e ORDER BY vec_id LIMIT 16),
 lists AS (SELECT e.vec_id, e.label, e.v, arg_max(c.centroid, (round(list_dot_product(e.v, c.cv), 12), -c.centroid)) AS centroid FROM e CROSS JOIN c GROUP BY e.vec_id, e.label, e.v)"""
+_HALF = "list_transform(embedding::DOUBLE[], lambda x: CASE WHEN x = 0 THEN 0 ELSE sign(x) * round_even(abs(x) / pow(2, greatest(floor(log2(abs(x))), -14) - 10), 0) * pow(2, greatest(floor(log2(abs(x))), -14) - 10) END)"
 ORACLES = {
     "q29_tokens": f"WITH {WORDS} SELECT doc_id, count(*) AS n_words, count(DISTINCT term) AS n_distinct FROM words WHERE term <> '' GROUP BY doc_id",
     "q30_match": f"WITH {WORDS} SELECT doc_id FROM documents WHERE {_has_sql('payload')}",
@@ -205,4 +206,6 @@ SELECT DISTINCT 'source', lower(regexp_replace(w, '[^\p{{L}}\p{{N}}]', '', 'g'))
     "q47_ivf_search": f"WITH {_IVF}, probed AS (SELECT centroid FROM c ORDER BY list_dot_product(cv, {_LIST}) DESC, centroid LIMIT 4) SELECT vec_id, round({_DOT}, 6) AS score FROM lists WHERE centroid IN (SELECT centroid FROM probed) ORDER BY {_DOT} DESC, vec_id LIMIT 10",
     "q47_ivf_exact": f"WITH {_E} SELECT vec_id, round({_DOT}, 6) AS score FROM e ORDER BY {_DOT} DESC, vec_id LIMIT 10",
     "q47_ivf_removed": f"WITH {_E} SELECT vec_id, round({_DOT}, 6) AS score FROM e WHERE label <> 0 ORDER BY {_DOT} DESC, vec_id LIMIT 10",
+    "q38_stemmed_query": r"""SELECT doc_id FROM documents WHERE len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: regexp_full_match(lower(regexp_replace(w, '[^\p{L}\p{N}]', '', 'g')), 'segment(s|ed|ing|al|ation|ations)?'))) > 0""",
+    "q47_half_precision": f"SELECT vec_id, round(list_dot_product(v, v), 6) AS norm FROM (SELECT vec_id, {_HALF} AS v FROM embeddings)",
 }
