@@ -147,6 +147,13 @@ def p8_lines(spark: SparkSession, d: str) -> DataFrame:
     return spans.duplicate_lines(_table(spark, d, "documents"))
 
 
+def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Every text without the long lines that repeat an earlier one: its length and how many lines it lost."""
+    documents = _table(spark, d, "documents")
+    cleaned = spans.without_lines(documents, spans.duplicate_lines(documents))
+    return cleaned.select("doc_id", F.length("text").cast("bigint").alias("chars"), F.md5(F.encode("text", "utf-8")).alias("digest"), "removed")
+
+
 def p3_pivots(spark: SparkSession, d: str) -> DataFrame:
     """The clusters around pivots, each with its size, recomputed medoid and most typical members."""
     nodes, dims = _nodes(spark, d)
@@ -161,7 +168,7 @@ QUERIES = {
     "p3_found": p3_found, "p3_clusters": p3_clusters, "p3_pivots": p3_pivots,
     "p6_ids": p6_ids, "p6_lengths": p6_lengths,
     "p7_assignments": p7_assignments, "p7_fill": p7_fill,
-    "p8_found": p8_found, "p8_parts": p8_parts, "p8_lines": p8_lines,
+    "p8_found": p8_found, "p8_parts": p8_parts, "p8_lines": p8_lines, "p8_cleaned": p8_cleaned,
 }
 
 _P1 = """
@@ -191,7 +198,26 @@ marked AS (SELECT doc_id, s, coalesce(s - lag(s) OVER (PARTITION BY doc_id ORDER
 runs AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM marked),
 spans AS (SELECT doc_id, min(s) AS span_start, max(s) + 100 AS span_end FROM runs GROUP BY doc_id, run)"""
 
+_BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_LINES = f"""
+split AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nth FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 100),
+placed AS (SELECT doc_id, line, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY nth) - length(line) - 1 AS line_start FROM split),
+plain AS (SELECT doc_id, line_start::BIGINT AS line_start, (line_start + length(line))::BIGINT AS line_end,
+    lower(regexp_replace(regexp_replace(line, '{_BLANK}+', ' ', 'g'), '^ | $', '', 'g')) AS line FROM placed),
+copies AS (SELECT *, first_value(doc_id) OVER w AS first_doc_id, first_value(line_start) OVER w AS first_start FROM plain WHERE length(line) >= 100
+    WINDOW w AS (PARTITION BY line ORDER BY doc_id, line_start)),
+again AS (SELECT doc_id, line_start, line_end, first_doc_id, first_start FROM copies WHERE (doc_id, line_start) <> (first_doc_id, first_start))"""
+
 ORACLES = {
+    "p8_lines": f"WITH {_LINES} SELECT * FROM again",
+    "p8_cleaned": f"""
+WITH {_LINES}, kept AS (
+    SELECT doc_id, string_agg(line || CASE WHEN nth < parts THEN chr(10) ELSE '' END, '' ORDER BY nth) AS text FROM (
+        SELECT s.doc_id, s.line, s.nth, max(s.nth) OVER (PARTITION BY s.doc_id) AS parts, sum(length(s.line) + 1) OVER (PARTITION BY s.doc_id ORDER BY s.nth) - length(s.line) - 1 AS line_start FROM split s)
+    ANTI JOIN again USING (doc_id, line_start) GROUP BY doc_id),
+lost AS (SELECT doc_id, count(*) AS removed FROM again GROUP BY doc_id)
+SELECT d.doc_id, length(t) AS chars, md5(t) AS digest, removed FROM (
+    SELECT d.doc_id, CASE WHEN removed IS NULL THEN d.text ELSE coalesce(k.text, '') END AS t, coalesce(removed, 0) AS removed FROM documents d LEFT JOIN lost USING (doc_id) LEFT JOIN kept k USING (doc_id)) d""",
     "p1_found": f"WITH {_P1} SELECT feed, record_no FROM judged WHERE is_repeat",
     "p1_judged": f"WITH {_P1} SELECT feed, record_no, is_repeat FROM judged",
     "p1_error_rate": f"""
@@ -211,6 +237,15 @@ asked AS (
       AND len(list_filter(q.query_vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(q.query_vector, lambda x: x <> 0)) > 0)
 SELECT query_id, id AS node_id FROM asked JOIN nodes USING (field_name)
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round({_COSINE.format("asked.v", "nodes.v")}, 12) DESC, id) <= top_k""",
+    "p2_recall": f"""
+WITH {_USABLE},
+asked AS (
+    SELECT DISTINCT ON (q.query_id) q.query_id, q.field_name, q.query_vector::DOUBLE[] AS v, q.top_k
+    FROM vector_queries q JOIN vector_fields f USING (field_name)
+    WHERE q.top_k >= 1 AND q.query_id % 50 = 0 AND len(q.query_vector) = f.dimensions
+      AND len(list_filter(q.query_vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(q.query_vector, lambda x: x <> 0)) > 0),
+sizes AS (SELECT query_id, least(top_k, (SELECT count(*) FROM nodes WHERE nodes.field_name = asked.field_name)) AS n FROM asked)
+SELECT count(*) AS queries, coalesce(sum(n), 0)::BIGINT AS wanted, coalesce(sum(n), 0)::BIGINT AS found, CASE WHEN sum(n) > 0 THEN 1.0::DOUBLE END AS recall FROM sizes WHERE n > 0""",
     "p2_nodes": f"""
 WITH {_USABLE}
 SELECT a.id AS query_id, b.id AS node_id, round({_COSINE.format("a.v", "b.v")}, 6) AS cosine,

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,21 +24,24 @@ from stratafold import storage
 from stratafold.llm.tokens import _slices, strings
 
 LEAST, GRAM = 100, 32
-#: Units of one hash that are compared inside a task; more are compared through a shuffle by window.
-IN_TASK = 20_000
-_BASE = 0x9E3779B97F4A7C15
-_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+#: Characters of the units of one hash that are compared inside a task; more are compared through a shuffle by window.
+IN_TASK = 4_000_000
+#: Copies of one line that one task joins with its first occurrence.
+COPIES = 1_000_000
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _power_tables(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64, at least ``n`` of them."""
-    if len(_powers[0]) < n:
-        size = 1 << n.bit_length()
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            p = np.full(size, base, dtype=np.uint64)
+    if base not in _powers or len(_powers[base][0]) < n:
+        size, made = 1 << n.bit_length(), []
+        for b in (base, pow(base, -1, 2**64)):
+            p = np.full(size, b, dtype=np.uint64)
             p[0] = 1
-            _powers[i] = np.cumprod(p, dtype=np.uint64)
-    return _powers[0], _powers[1]
+            made.append(np.cumprod(p, dtype=np.uint64))
+        _powers[base] = made[0], made[1]
+    return _powers[base]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -51,9 +55,9 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
 
 
-def window_hashes(codes: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
+def window_hashes(codes: np.ndarray, sizes: tuple[int, ...], base: int = _BASES[0]) -> list[np.ndarray]:
     """For each size a hash of every window of so many characters of ``codes``."""
-    up, down = _power_tables(len(codes) + 1)
+    up, down = _power_tables(len(codes) + 1, base)
     total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_mixed(codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], dtype=np.uint64)))
     return [_mixed((total[n:] - total[:-n]) * down[: len(total) - n]) if len(codes) >= n else np.empty(0, dtype=np.uint64) for n in sizes]
 
@@ -133,32 +137,61 @@ def _units_with_text(least: int, gram: int):
     return run
 
 
-def _windows_of(around: list[str], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(unit, offset, hash) of every window in the characters of units."""
+def _windows_of(around: list[str], least: int, bases: tuple[int, ...] = _BASES[:1]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """(unit, offset, a hash for each base, place) of every window in the characters of units, and these characters."""
     codes, lengths = code_points(around)
-    hashes = window_hashes(codes, (least,))[0]
     counts = lengths - least + 1
     unit = np.repeat(np.arange(len(around)), counts)
     offset = np.arange(len(unit)) - np.repeat(np.cumsum(counts) - counts, counts)
-    return unit, offset, hashes[(np.cumsum(lengths) - lengths)[unit] + offset]
+    place = (np.cumsum(lengths) - lengths)[unit] + offset
+    return unit, offset, [window_hashes(codes, (least,), b)[0][place] for b in bases], place, codes
 
 
 _RANGE = "doc_id bigint, span_start bigint, span_end bigint"
 _RANGE_ARROW = pa.schema([("doc_id", pa.int64()), ("span_start", pa.int64()), ("span_end", pa.int64())])
 
 
+def _as_first(codes: np.ndarray, place: np.ndarray, group: np.ndarray, firsts: np.ndarray, least: int) -> np.ndarray:
+    """Group numbers of windows, ordered by group, after those of equal hash were compared with the first of their group character by
+    character: whatever differs from it gets groups of its own."""
+    windows = np.lib.stride_tricks.sliding_window_view(codes, least)
+    other = np.zeros(len(place), dtype=bool)
+    for s in range(0, len(place), 1 << 16):
+        part = slice(s, s + (1 << 16))
+        other[part] = (windows[place[part]] != windows[place[firsts[group[part]]]]).any(axis=1)
+    if other.any():
+        named: dict[tuple[int, bytes], int] = {}
+        group = group.copy()
+        for i in np.flatnonzero(other):
+            group[i] = named.setdefault((int(group[i]), windows[place[i]].tobytes()), len(firsts) + len(named))
+    return group
+
+
 def _compare(least: int):
     """Compares the windows of complete runs of equal ``h``; returns stretches of shared windows of each unit."""
 
     def compare(group: pa.Table) -> pa.RecordBatch:
         h, docs, first = (group.column(c).to_numpy() for c in ("h", "doc_id", "first"))
-        unit, offset, w = _windows_of(group.column("around").to_pylist(), least)
+        unit, offset, (w,), place, codes = _windows_of(group.column("around").to_pylist(), least)
         order = np.lexsort((docs[unit], w, h[unit]))
         hu, ws, ds = h[unit][order], w[order], docs[unit][order]
-        starts = np.flatnonzero(np.concatenate(([True], (hu[1:] != hu[:-1]) | (ws[1:] != ws[:-1]))))
+        new = np.concatenate(([True], (hu[1:] != hu[:-1]) | (ws[1:] != ws[:-1])))
+        starts = np.flatnonzero(new)
         sizes = np.diff(np.concatenate((starts, [len(ws)])))
-        shared = np.empty(len(ws), dtype=bool)
-        shared[order] = np.repeat(ds[starts] != ds[starts + sizes - 1], sizes)
+        several = np.flatnonzero(np.repeat(ds[starts] != ds[starts + sizes - 1], sizes))
+        # only what several documents seem to have is compared itself
+        order, ds, number = order[several], ds[several], np.cumsum(new)[several] - 1
+        firsts = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1]))) if len(number) else several
+        number = np.searchsorted(number[firsts], number)
+        exact = _as_first(codes, place[order], number, firsts, least)
+        if exact is not number:
+            again = np.lexsort((ds, exact))
+            order, ds, exact = order[again], ds[again], exact[again]
+        starts = np.flatnonzero(np.concatenate(([True], exact[1:] != exact[:-1]))) if len(exact) else several
+        sizes = np.diff(np.concatenate((starts, [len(exact)])))
+        shared = np.zeros(len(unit), dtype=bool)
+        if len(starts):
+            shared[order] = np.repeat(ds[starts] != ds[starts + sizes - 1], sizes)
         unit, offset = unit[shared], offset[shared]
         if not len(unit):
             return pa.RecordBatch.from_pylist([], schema=_RANGE_ARROW)
@@ -169,34 +202,39 @@ def _compare(least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        chars = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             h = batch.column("h").to_numpy()
-            if held and held[-1].column("h")[-1].as_py() != int(h[0]):
+            size = np.cumsum(pc.utf8_length(batch.column("around")).to_numpy(zero_copy_only=False))
+            ends = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))
+            begin = done = 0
+            if held and held[-1].column("h")[-1].as_py() != int(h[0]) and chars >= IN_TASK // 4:
                 yield compare(pa.Table.from_batches(held))
-                held = []
-            cut = int(np.searchsorted(h, h[-1]))
-            if cut:
-                yield compare(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = []
-            held.append(batch.slice(cut))
+                held, chars = [], 0
+            for end in ends[:-1]:
+                if chars + size[end - 1] - done >= IN_TASK // 4:
+                    yield compare(pa.Table.from_batches([*held, batch.slice(begin, end - begin)]))
+                    held, chars, begin, done = [], 0, int(end), size[end - 1]
+            held.append(batch.slice(begin))
+            chars += size[-1] - done
         if held:
             yield compare(pa.Table.from_batches(held))
 
     return run
 
 
-_WINDOW = "h bigint, w bigint, doc_id bigint, start bigint"
-_WINDOW_ARROW = pa.schema([("h", pa.int64()), ("w", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64())])
+_WINDOW = "h bigint, w bigint, w2 bigint, doc_id bigint, start bigint"
+_WINDOW_ARROW = pa.schema([("h", pa.int64()), ("w", pa.int64()), ("w2", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64())])
 
 
 def _explode_windows(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            unit, offset, w = _windows_of(batch.column("around").to_pylist(), least)
+            unit, offset, (w, w2), _, _ = _windows_of(batch.column("around").to_pylist(), least, _BASES)
             h, docs, first = (batch.column(c).to_numpy() for c in ("h", "doc_id", "first"))
-            yield pa.RecordBatch.from_arrays([pa.array(h[unit]), pa.array(w.view(np.int64)), pa.array(docs[unit]), pa.array(first[unit] + offset)], schema=_WINDOW_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array(h[unit]), pa.array(w.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(docs[unit]), pa.array(first[unit] + offset)], schema=_WINDOW_ARROW)
 
     return run
 
@@ -218,24 +256,26 @@ def shared_spans(documents: DataFrame, least: int = LEAST, gram: int = GRAM, in_
     """(doc_id, span_start, span_end): every maximal run of characters of each text that lie in a stretch of ``least`` or
     more that also occurs in a text with another doc_id; offsets in code points, the end exclusive.
 
-    Nothing is normalised. Null and shorter texts have no spans, repetition inside a text does not count, and rows
+    Nothing is normalised, and what a task holds is compared character by character; what a shuffle by window compares, units of
+    one hash with more than ``in_task`` characters, by three hashes of 64 bits. Null and shorter texts have no spans, repetition inside a text does not count, and rows
     without a doc_id, which no result could name, are left out. Rows with equal doc_id are one text's.
     """
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & (F.length("text") >= least))
-    anchors = storage.materialise(texts.mapInArrow(_anchors(least, gram), "doc_id bigint, h bigint"), "spans-anchors")
+    scratch = storage.Scratch(documents.sparkSession, "spans")
+    anchors = scratch.keep(texts.mapInArrow(_anchors(least, gram), "doc_id bigint, h bigint"), "anchors")
     candidates = anchors.join(_in_two(anchors, "h"), "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
     found = texts.join(candidates, "doc_id").mapInArrow(_units_with_text(least, gram), _UNIT)
-    found = storage.materialise(found, "spans-units", compression="zstd")
-    hot = storage.materialise(found.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > in_task).select("h"), "spans-hot")
+    found = scratch.keep(found, "units", compression="zstd")
+    hot = scratch.keep(found.groupBy("h").agg(F.sum(F.length("around")).alias("n")).where(F.col("n") > in_task).select("h"), "hot")
     some_hot = not hot.isEmpty()
     usual = found.join(hot, "h", "left_anti") if some_hot else found
     n = storage.spread(found, 4 << 20)
     ranges = usual.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_compare(least), _RANGE)
     if some_hot:
-        windows = storage.materialise(found.join(hot, "h", "left_semi").mapInArrow(_explode_windows(least), _WINDOW), "spans-windows")
-        one = windows.join(_in_two(windows, "h", "w"), ["h", "w"], "left_semi")
+        windows = scratch.keep(found.join(hot, "h", "left_semi").mapInArrow(_explode_windows(least), _WINDOW), "windows")
+        one = windows.join(_in_two(windows, "h", "w", "w2"), ["h", "w", "w2"], "left_semi")
         ranges = ranges.unionByName(one.select("doc_id", F.col("start").alias("span_start"), (F.col("start") + least).alias("span_end")))
-    return _merged(ranges)
+    return scratch.result(_merged(ranges))
 
 
 def shared_parts(documents: DataFrame, spans: DataFrame) -> DataFrame:
@@ -267,15 +307,34 @@ def _lines(least: int):
     return run
 
 
-def duplicate_lines(documents: DataFrame, least: int = LEAST) -> DataFrame:
+def duplicate_lines(documents: DataFrame, least: int = LEAST, copies: int = COPIES) -> DataFrame:
     """(doc_id, line_start, line_end, first_doc_id, first_start) of every line that repeats an earlier one.
 
     Lines end at newlines; they are compared without case, outer blanks and differences of inner blanks, if ``least`` or
     more characters are left. The earliest occurrence by (doc_id, offset) stays, the others are returned with their
-    original offsets. A repetition inside a document counts too.
+    original offsets. A repetition inside a document counts too. The copies of a line of which there are more than
+    ``copies`` are dealt to several tasks.
     """
+    scratch = storage.Scratch(documents.sparkSession, "spans-lines")
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & (F.length("text") >= least))
-    lines = storage.materialise(texts.mapInArrow(_lines(least), _LINE), "spans-lines")
-    first = lines.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line_start")).alias("f")).where("n > 1")
-    again = lines.join(first, "digest").where((F.col("doc_id") != F.col("f.doc_id")) | (F.col("line_start") != F.col("f.line_start")))
-    return again.select("doc_id", "line_start", "line_end", F.col("f.doc_id").alias("first_doc_id"), F.col("f.line_start").alias("first_start"))
+    lines = scratch.keep(texts.mapInArrow(_lines(least), _LINE), "lines")
+    parts = F.ceil(F.col("n") / copies).cast("int")
+    first = scratch.keep(lines.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line_start")).alias("f")).where("n > 1"), "first")
+    hot = scratch.keep(first.where(F.col("n") > copies).select("digest", parts.alias("parts")), "hot")
+    lines, first = lines.join(hot, "digest", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id", "line_start"), "parts"), F.lit(0)).cast("int")), first.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    again = lines.join(first, ["digest", "part"]).where((F.col("doc_id") != F.col("f.doc_id")) | (F.col("line_start") != F.col("f.line_start")))
+    return scratch.result(again.select("doc_id", "line_start", "line_end", F.col("f.doc_id").alias("first_doc_id"), F.col("f.line_start").alias("first_start")))
+
+
+def without_lines(documents: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc_id, text, removed): every text without the lines (doc_id, line_start, line_end), each taken out with the newline after it,
+    and how many these were. Texts that lose nothing stay as they are, null ones null."""
+    taken = lines.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("line_start", "line_end"))).alias("taken"))
+    joined = documents.select("doc_id", "text").join(taken, "doc_id", "left")
+    # from the end of what was taken out last up to the next
+    kept = F.aggregate(
+        "taken", F.struct(F.lit("").alias("text"), F.lit(0).cast("bigint").alias("at")),
+        lambda s, t: F.struct(F.concat(s["text"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), (t["line_start"] - s["at"]).cast("int"))).alias("text"), (t["line_end"] + 1).alias("at")),
+        lambda s: F.concat(s["text"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.greatest(F.length("text") - s["at"], F.lit(0)).cast("int"))),
+    )
+    return joined.select("doc_id", F.when(F.col("taken").isNull(), F.col("text")).otherwise(kept).alias("text"), F.coalesce(F.size("taken"), F.lit(0)).cast("bigint").alias("removed"))

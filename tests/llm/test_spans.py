@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -114,3 +116,47 @@ def test_lines(spark):
     n = len(long)
     assert got == {(2, 6, 8 + n, 1, 0), (4, 0, n, 1, 0), (4, n + 1, 2 * n + 1, 1, 0)}
     assert spans.duplicate_lines(frame(spark, docs).limit(0)).where(F.lit(True)).count() == 0
+
+
+def test_windows_of_equal_hash_are_compared_themselves(monkeypatch):
+    """Hashes that tell few windows apart change nothing in what a task finds."""
+    r = random.Random(2)
+    docs = [(i, "".join(r.choice(["abcdefgh" * 3, "xyz" * 9, "qrstuv" * 4, letters(i, 20, "klmn")]) for _ in range(6))) for i in range(12)]
+    least = 24
+    kept = [(i, t) for i, t in docs if len(t) >= least]
+    table = [(0, i, 0, t) for i, t in kept]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*table, strict=True)], schema=spans._UNIT_ARROW)
+    exact = spans.window_hashes
+    for mask in (2**64 - 1, 15, 0):
+        monkeypatch.setattr(spans, "window_hashes", lambda codes, sizes, base=0, m=mask: [h & np.uint64(m) for h in exact(codes, sizes)])
+        found = {tuple(x.values()) for b in spans._compare(least)(iter([batch])) for x in b.to_pylist()}
+        marked = {(d, c) for d, a, b in found for c in range(a, b)}
+        assert marked == {(d, c) for d, a, b in brute(docs, least) for c in range(a, b)}
+
+
+def test_units_are_compared_in_bounded_portions(monkeypatch):
+    """However the units of one hash are spread over batches, and however few characters a task takes at once."""
+    t = letters(9, 60, "abcdef")
+    rows = [(h, d, 0, t if h % 2 else letters(100 * h + d, 60, "ghij")) for h in range(9) for d in range(5)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], schema=spans._UNIT_ARROW)
+    for bound in (4, 400, 10**6):
+        monkeypatch.setattr(spans, "IN_TASK", bound)
+        for step in (1, 7, 45):
+            pieces = (batch.slice(s, step) for s in range(0, 45, step))
+            found = sorted(tuple(x.values()) for b in spans._compare(20)(pieces) for x in b.to_pylist())
+            assert found == sorted((d, 0, 60) for h in range(1, 9, 2) for d in range(5))
+
+
+def test_hot_lines_are_dealt_to_several_tasks(spark):
+    line = letters(4, 120, "abcdefg ")
+    docs = [(i, f"{line}\nown {i}") for i in range(300)]
+    df = spans.duplicate_lines(frame(spark, docs), copies=40)
+    assert {tuple(r) for r in df.select("doc_id", "first_doc_id", "first_start").collect()} == {(i, 0, 0) for i in range(1, 300)} and df.count() == 299
+
+
+def test_texts_without_repeated_lines(spark):
+    a, b = letters(6, 130, "abcdefg "), letters(7, 140, "hijkl ")
+    docs = [(1, f"{a}\n{b}"), (2, f"x\n{a}\ny\n{b}"), (3, a), (4, f"{b}\n{b}\nz\n"), (5, None), (6, ""), (7, "short")]
+    df = frame(spark, docs)
+    got = {r.doc_id: (r.text, r.removed) for r in spans.without_lines(df, spans.duplicate_lines(df)).collect()}
+    assert got == {1: (f"{a}\n{b}", 0), 2: ("x\ny\n", 2), 3: ("", 1), 4: ("z\n", 2), 5: (None, 0), 6: ("", 0), 7: ("short", 0)}
