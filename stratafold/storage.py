@@ -44,9 +44,20 @@ def workspace(spark: SparkSession, purpose: str) -> str:
 def materialise(df: DataFrame, purpose: str, **options: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = workspace(spark, purpose)
+    return _written(df, workspace(spark, purpose), options)
+
+
+def _written(df: DataFrame, path: str, options: dict[str, str]) -> DataFrame:
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop(*written: DataFrame) -> None:
+    """Delete what ``materialise`` or ``Scratch.keep`` wrote, once nothing reads it any more."""
+    for df in written:
+        discard(df.sparkSession, df.stored_at)
 
 
 class Scratch:
@@ -57,9 +68,7 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         """``materialise`` below the scratch folder."""
-        path = f"{self.root}/{name}-{uuid.uuid4().hex}"
-        df.write.options(**options).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return _written(df, f"{self.root}/{name}-{uuid.uuid4().hex}", options)
 
     def result(self, df: DataFrame) -> DataFrame:
         """``df`` written to a folder that stays; the scratch folder is deleted."""
