@@ -143,13 +143,14 @@ def by_scan(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     n_nodes = nodes.groupBy("field_no").agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).cast("int").alias("node_blocks"))
     n_queries = queries.groupBy("field_no").agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).cast("int").alias("query_blocks"))
     # written, so that its size is known and the join does not shuffle the vectors; as many rows as there are fields
-    sizes = storage.materialise(n_nodes.join(n_queries, "field_no"), "nearest-sizes")
+    scratch = storage.Scratch(nodes.sparkSession, "nearest-scan")
+    sizes = scratch.keep(n_nodes.join(n_queries, "field_no"), "sizes")
     cell = F.col("field_no").cast("bigint").alias("cell")
     a = nodes.join(sizes, "field_no").select(cell, chunk_of(F.col("id"), F.col("node_blocks")).alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("round"), "id", "extra", "vec")
     b = queries.join(sizes, "field_no").select(cell, F.explode(F.sequence(F.lit(0), F.col("node_blocks") - 1)).alias("chunk"), chunk_of(F.col("id"), F.col("query_blocks")).alias("round"), "id", "extra", "vec")
     copies = sizes.agg(F.max("query_blocks"), F.max("node_blocks")).first()
     n = partitions_for((nodes, copies[0] or 1), (queries, copies[1] or 1))
-    return _leaders(_run(a, b, n), n)
+    return scratch.result(_leaders(_run(a, b, n), n))
 
 
 def _scan_is_cheaper(queries: int, probes: int, cells: int, tables: int) -> bool:
@@ -169,9 +170,10 @@ def nearest(nodes: DataFrame, queries: DataFrame, dims: dict[str, int]) -> DataF
     fineness = fitting(nodes, dims)
     tables, tail, probes = fineness
     cells = min((_cells_of(d, tail) for d in dims.values()), default=1)
-    parts, left = [], queries
+    parts, left, held = [], queries, []
     for step, floor in enumerate(FLOORS, 1):
         found = by_cells(nodes, left, dims, step - 1, floor, fineness)
+        held.append(found)
         full = found.groupBy("query_id").agg(F.count("*").alias("n"), F.first("top_k").alias("k")).where("n = k").select("query_id")
         parts.append(found.join(full, "query_id", "left_semi").withColumn("step", F.lit(step)))
         left = scratch.keep(left.join(full.withColumnRenamed("query_id", "id"), "id", "left_anti").select(*queries.columns), "open")
@@ -179,22 +181,25 @@ def nearest(nodes: DataFrame, queries: DataFrame, dims: dict[str, int]) -> DataF
         if not n or (step < len(FLOORS) and _scan_is_cheaper(n, probes[step], cells, tables)):
             break
     if n:
-        parts.append(by_scan(nodes, left).withColumn("step", F.lit(SCAN)))
+        held.append(by_scan(nodes, left))
+        parts.append(held[-1].withColumn("step", F.lit(SCAN)))
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    return scratch.result(every)
+    out = scratch.result(every)
+    storage.drop(*held)
+    return out
 
 
 def load_nodes(nodes: DataFrame, fields: DataFrame) -> tuple[DataFrame, dict[str, int]]:
     dims = field_dimensions(fields)
-    return storage.materialise(usable(nodes, dims, "node_id", "node_vector", "removed", "written_at"), "nearest-nodes"), dims
+    return usable(nodes, dims, "node_id", "node_vector", "removed", "written_at", purpose="nearest-nodes"), dims
 
 
 def load_queries(queries: DataFrame, dims: dict[str, int]) -> DataFrame:
     """Usable queries: besides a usable vector a positive ``top_k`` and an element that is not zero."""
     asked = queries.where((F.col("top_k") >= 1) & F.exists("query_vector", lambda x: x != 0))
-    return storage.materialise(usable(asked, dims, "query_id", "query_vector", None, "asked_at", "top_k"), "nearest-queries")
+    return usable(asked, dims, "query_id", "query_vector", None, "asked_at", "top_k", purpose="nearest-queries")
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

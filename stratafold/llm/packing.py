@@ -108,16 +108,17 @@ def pack(sizes: DataFrame, capacities: DataFrame) -> DataFrame:
     capacity has more than one piece. Documents of no tokens lie in containers too, taking no room. Repeated rows are packed
     like different documents, and so are documents without an id.
     """
+    scratch = storage.Scratch(sizes.sparkSession, "packing")
     # pandas has no whole numbers that may be null: the ids of documents without one go as 0 and are put back at the end
-    items = storage.materialise(_items(sizes.select(F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("doc_id"), F.col("doc_id").isNotNull().alias("has_id"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")), capacities), "packing-items")
-    first = storage.materialise(_packed(items, items.groupBy("container_kind").agg(F.count("*").alias("n")), 0), "packing-first")
+    items = scratch.keep(_items(sizes.select(F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("doc_id"), F.col("doc_id").isNotNull().alias("has_id"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")), capacities), "items")
+    first = scratch.keep(_packed(items, items.groupBy("container_kind").agg(F.count("*").alias("n")), 0), "first")
     kinds = items.groupBy("container_kind").agg(F.max("capacity").alias("capacity"))
     settled = F.col("fill") >= F.col("capacity") * SETTLED
     judged = first.join(kinds, "container_kind")
-    again = storage.materialise(judged.where(~settled).drop("container_id", "fill"), "packing-again")
+    again = scratch.keep(judged.where(~settled).drop("container_id", "fill"), "again")
     second = _packed(again, again.groupBy("container_kind").agg(F.count("*").alias("n")), 1)
     packed = judged.where(settled).select(*first.columns).unionByName(second)
-    return packed.withColumn("doc_id", F.when(F.col("has_id"), F.col("doc_id"))).drop("fill", "has_id")
+    return scratch.result(packed.withColumn("doc_id", F.when(F.col("has_id"), F.col("doc_id"))).drop("fill", "has_id"))
 
 
 def fill_report(packed: DataFrame, capacities: DataFrame) -> DataFrame:

@@ -48,7 +48,10 @@ def _nodes(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, int]]:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """The most similar nodes of every usable query."""
     nodes, dims = _nodes(spark, d)
-    return nearest.nearest(nodes, nearest.load_queries(_table(spark, d, "vector_queries"), dims), dims).select("query_id", "node_id")
+    queries = nearest.load_queries(_table(spark, d, "vector_queries"), dims)
+    found = nearest.nearest(nodes, queries, dims)
+    storage.drop(nodes, queries)
+    return found.select("query_id", "node_id")
 
 
 def p2_recall(spark: SparkSession, d: str) -> DataFrame:
@@ -88,20 +91,26 @@ def p2_nodes(spark: SparkSession, d: str) -> DataFrame:
     nodes, dims = _nodes(spark, d)
     own = storage.materialise(nodes.where((F.col("id") % 50 == 0) & F.exists("vec", lambda x: x != 0)).withColumn("extra", F.lit(11)), "nearest-own")
     found = nearest.nearest(nodes, own, dims).where("query_id <> node_id")
+    storage.drop(nodes, own)
     best = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "node_id")
     return found.withColumn("nth", F.row_number().over(best)).where("nth <= 10").select("query_id", "node_id", F.round("cosine", 6).alias("cosine"), F.col("nth").cast("bigint").alias("nth"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Every node of a cluster of two or more."""
-    return clusters.components(*_nodes(spark, d))
+    nodes, dims = _nodes(spark, d)
+    found = clusters.components(nodes, dims)
+    storage.drop(nodes)
+    return found
 
 
 def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Every cluster with its size, medoid and most typical members."""
     nodes, dims = _nodes(spark, d)
     names = F.array(*[F.lit(name) for name in dims]).cast("array<string>")
-    found = clusters.describe(nodes, clusters.components(nodes, dims))
+    members = clusters.components(nodes, dims)
+    found = clusters.describe(nodes, members)
+    storage.drop(nodes, members)
     return found.select("cluster_id", names[F.col("field_no")].alias("field_name"), "size", "medoid", "typical", "mean_cosine")
 
 
@@ -118,7 +127,9 @@ def p6_lengths(spark: SparkSession, d: str) -> DataFrame:
 def _packed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     kinds = _table(spark, d, "container_sizes")
     sizes = storage.materialise(tokens.count_tokens(_table(spark, d, "documents")), "packing-sizes")
-    return packing.pack(sizes, kinds), kinds
+    packed = packing.pack(sizes, kinds)
+    storage.drop(sizes)
+    return packed, kinds
 
 
 def p7_assignments(spark: SparkSession, d: str) -> DataFrame:
@@ -158,7 +169,9 @@ def p3_pivots(spark: SparkSession, d: str) -> DataFrame:
     """The clusters around pivots, each with its size, recomputed medoid and most typical members."""
     nodes, dims = _nodes(spark, d)
     names = F.array(*[F.lit(name) for name in dims]).cast("array<string>")
-    found = clusters.describe(nodes, clusters.pivot_clusters(nodes, dims))
+    members = clusters.pivot_clusters(nodes, dims)
+    found = clusters.describe(nodes, members)
+    storage.drop(nodes, members)
     return found.select("cluster_id", names[F.col("field_no")].alias("field_name"), "size", "medoid", "typical", "mean_cosine")
 
 

@@ -10,6 +10,7 @@ matrix; very long ones one by one. Every piece is merged once as long as a bound
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -122,21 +123,23 @@ def _merge_rows(merges: Merges, pieces: list[bytes], width: int) -> list[np.ndar
 
 
 def _merge_one(merges: Merges, piece: bytes) -> np.ndarray:
-    """Merges one long piece over a segment tree of plain lists."""
+    """Merges one long piece over a segment tree in flat arrays, which take up to 64 bytes for each of the piece."""
     n = len(piece)
     width = 1 << (n - 1).bit_length()
     none = 2**62
     pairs = merges.pairs
-    symbols = merges.byte_ids[np.frombuffer(piece, dtype=np.uint8)].tolist()
-    tree = [none] * (2 * width)
-    for i in range(n - 1):
-        rank = pairs.get(symbols[i] << 20 | symbols[i + 1])
-        if rank is not None:
-            tree[width + i] = rank * width + i
-    for i in range(width - 1, 0, -1):
-        tree[i] = min(tree[2 * i], tree[2 * i + 1])
-    following = list(range(1, n + 1))
-    previous = list(range(-1, n))
+    ids = merges.byte_ids[np.frombuffer(piece, dtype=np.uint8)].astype(np.int64)
+    built = np.full(2 * width, none, dtype=np.int64)
+    rank = merges.rank(ids[:-1], ids[1:])
+    built[width : width + n - 1] = np.where(rank >= 0, rank * width + np.arange(n - 1), none)
+    level = width
+    while level > 1:
+        half = level // 2
+        built[half:level] = np.minimum(built[level : 2 * level : 2], built[level + 1 : 2 * level : 2])
+        level = half
+    flat = lambda x: array("q", x.astype(np.int64).tobytes())
+    tree, symbols, following, previous = flat(built), flat(ids), flat(np.arange(1, n + 1)), flat(np.arange(-1, n))
+    del built
     alive = bytearray(b"\1") * n
 
     def set_leaf(i: int, value: int) -> None:

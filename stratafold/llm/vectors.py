@@ -23,8 +23,8 @@ def field_dimensions(fields: DataFrame) -> dict[str, int]:
     return {r.field_name: r.dimensions for r in rows}
 
 
-def usable(df: DataFrame, dims: dict[str, int], key: str, vector: str, removed: str | None, latest: str, extra: str | None = None) -> DataFrame:
-    """(id, field_no, extra, vec) of the rows whose vector has its field's length and only finite elements.
+def usable(df: DataFrame, dims: dict[str, int], key: str, vector: str, removed: str | None, latest: str, extra: str | None = None, purpose: str = "vectors") -> DataFrame:
+    """(id, field_no, extra, vec), written, of the rows whose vector has its field's length and only finite elements.
 
     Null ids and removed rows are left out. Of several usable rows of an id the latest holds (ties: the greatest vector).
     """
@@ -41,13 +41,14 @@ def usable(df: DataFrame, dims: dict[str, int], key: str, vector: str, removed:
     value = F.struct(number.alias("field_no"), (F.col(extra) if extra else F.lit(0)).cast("int").alias("extra"), F.col(vector).cast("array<float>").alias("vec"))
     rows = df.where(keep).select(F.col(key).alias("id"), F.struct(F.col(latest).alias("at"), value.alias("v")).alias("r"))
     # only the rows of repeated ids need to meet; where Spark would broadcast these ids, the others are not shuffled
-    repeated = storage.materialise(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "vectors-repeated")
+    scratch = storage.Scratch(df.sparkSession, purpose)
+    repeated = scratch.keep(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")
     last = lambda some: some.groupBy("id").agg(F.max("r").alias("r"))
     if storage.broadcasts(repeated):
         one = rows.join(repeated, "id", "left_anti").select("id", "r").unionByName(last(rows.join(repeated, "id", "left_semi")))
     else:
         one = last(rows)
-    return one.select("id", "r.v.*")
+    return scratch.result(one.select("id", "r.v.*"))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
