@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -142,6 +142,21 @@ def analyse(text: Column, stop: frozenset[str] = STOP_WORDS, stemmed: bool = Tru
     return stem_arrays(words) if stemmed else words
 
 
+#: Analysers by name: what makes an array of terms of a text. Index declarations keep the name.
+_ANALYSERS: dict[str, Callable[[Column], Column]] = {"plain": tokens, "no stop words": lambda t: analyse(t, stemmed=False), "stemmed": analyse}
+
+
+def register_analyser(name: str, analyser: Callable[[Column], Column]) -> None:
+    """Make a tokenizer, stemmer or any other analysis of texts known under a name, in every process that uses the index."""
+    _ANALYSERS[name] = analyser
+
+
+def analyser(name: str) -> Callable[[Column], Column]:
+    if name not in _ANALYSERS:
+        raise ValueError(f"unknown analyser {name}")
+    return _ANALYSERS[name]
+
+
 def postings(df: DataFrame, key: str, *fields: str, analyser=tokens) -> DataFrame:
     """(field, term, key): one row for every term of each field of a row, without repetition; nulls give none."""
     if any(not f.strip() or "\0" in f for f in fields):

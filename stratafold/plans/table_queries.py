@@ -123,6 +123,16 @@ def q90_index_match(spark: SparkSession, d: str) -> DataFrame:
     return _indexed(spark, d).sql("SELECT lang, n_chars FROM documents WHERE MATCH(text, 'payload')")
 
 
+def q90_index_stemmed(spark: SparkSession, d: str) -> DataFrame:
+    """MATCH by postings of stems, whatever the form of the term asked for."""
+    rows = table(spark, d, "documents").where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_key"), "text")
+    t = _engine(spark).create_table("documents", of_dataframe("documents", rows), "bigint")
+    t.create(rows)
+    t.create_index("text", "FULL_TEXT", analyser="stemmed")
+    t.create(rows.where("_key % 7 = 0").select((-F.col("_key") - 1).alias("_key"), "text"))
+    return t.query().where("text").full_text_match("segmenting").execute().select("_key")
+
+
 def q91_index_range(spark: SparkSession, d: str) -> DataFrame:
     return _indexed(spark, d).query().where("n_chars").between(20, 60).execute().select("_key", "n_chars")
 
@@ -348,7 +358,13 @@ def q111_refused_rows(spark: SparkSession, d: str) -> DataFrame:
         "long text": ("c", "日日", None, None), "short vector": ("c", None, [1.0], None), "NaN": ("c", None, [1.0, float("nan")], None), "beyond half precision": ("c", None, [1.0, 1e6], None),
         "null element": ("c", None, [1.0, None], None), "long tag": ("c", None, None, ["abc"]), "key that is there": ("a", None, None, None), "null key": (None, None, None, None), "good row": ("b", None, None, None),
     }
-    tried = {what: (lambda r=r: t.create(spark.createDataFrame([r], ddl)), Exception) for what, r in bad.items()}
+
+    def limits(row: tuple) -> None:
+        if not schema.violations(spark.createDataFrame([row], ddl)).isEmpty():
+            raise SchemaError("breaks the limits")
+        t.create(spark.createDataFrame([row], ddl))
+
+    tried = {what: (lambda r=r: limits(r), (SchemaError, DuplicateKeyError)) for what, r in bad.items()}
     tried["missing key"] = (lambda: t.update(spark.createDataFrame([("z", None, None, None)], ddl)), KeyNotFoundError)
     tried["key twice"] = (lambda: t.create(spark.createDataFrame([("y", None, None, None)] * 2, ddl)), DuplicateKeyError)
     tried["unknown mode"] = (lambda: t.update(spark.createDataFrame([bad["good row"]], ddl), "MERGE"), ValueError)
@@ -472,6 +488,8 @@ UNION ALL SELECT c_custkey, 3, 'D', NULL, NULL FROM customer WHERE c_custkey % 5
     "q88_lenient_not": "SELECT _key, age FROM users WHERE NOT age >= 30",
     "q89_lenient_null": "SELECT _key, name FROM users WHERE email IS NULL AND name IS NOT NULL",
     "q90_index_match": f"WITH {_DOCS} SELECT lang, n_chars FROM docs WHERE {_HAS}",
+    "q90_index_stemmed": r"""WITH hit AS (SELECT doc_id FROM documents WHERE len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: regexp_full_match(lower(regexp_replace(w, '[^\p{L}\p{N}]', '', 'g')), 'segment(s|ed|ing|al|ation|ations)?'))) > 0)
+SELECT doc_id AS _key FROM hit UNION ALL SELECT -doc_id - 1 FROM hit WHERE doc_id % 7 = 0""",
     "q91_index_range": f"WITH {_DOCS} SELECT _key, n_chars FROM docs WHERE n_chars BETWEEN 20 AND 60",
     "q92_index_equality": f"WITH {_DOCS} SELECT _key, lang FROM docs WHERE lang = 'de' AND n_chars > 400",
     "q93_index_chosen": "SELECT * FROM (VALUES ('FullTextMatch text', 'FULL_TEXT'), ('Eq lang', 'EQUALITY'), ('Gt lang', NULL), ('Eq n_chars', 'RANGE'), ('Lt n_chars', 'RANGE'), ('Ne n_chars', NULL), ('Between n_chars', 'RANGE')) AS t(leaf, kind)",

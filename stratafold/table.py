@@ -71,6 +71,7 @@ class Index:
     metric: str | None = None
     covers: int = 0
     folder: str | None = None
+    analyser: str = "plain"
 
     def supports(self, p: P.Predicate) -> bool:
         """Whether the index can tell the rows that a leaf of a predicate selects."""
@@ -112,13 +113,17 @@ class Table:
         for folder in before - {i.folder for i in indexes}:
             storage.discard(self.spark, f"{self.path}/{folder}")
 
-    def create_index(self, field: str, kind: str, metric: str | None = None) -> None:
-        """Declare an index and build it over the rows there are. It is kept with the table, and used by every handle."""
+    def create_index(self, field: str, kind: str, metric: str | None = None, analyser: str = "plain") -> None:
+        """Declare an index and build it over the rows there are. It is kept with the table, and used by every handle.
+
+        MATCH on a field with a FULL_TEXT index goes by the terms that its ``analyser`` makes of texts and of the term asked for.
+        """
         check_index(self.schema, field, kind, metric)
+        text.analyser(analyser)
         if kind == "UNIQUE" and not versions.unique_violations(self.current(), field).isEmpty():
             raise UniqueViolationError(f"{field} has repeated values")
         others = [i for i in self.indexes if (i.field, i.kind) != (field, kind)]
-        self._save([*others, self._built(Index(field, kind, metric))])
+        self._save([*others, self._built(Index(field, kind, metric, analyser=analyser))])
 
     def drop_index(self, field: str, kind: str) -> None:
         self._save([i for i in self.indexes if (i.field, i.kind) != (field, kind)])
@@ -134,7 +139,7 @@ class Table:
             InvertedFile(rows.select("_key", index.field), "_key", index.field, index.metric).write(path)
             return replace(index, covers=top, folder=folder)
         if index.kind == "FULL_TEXT":
-            terms = text.postings(rows, "_key", index.field).select("term", "_key")
+            terms = text.postings(rows, "_key", index.field, analyser=text.analyser(index.analyser)).select("term", "_key")
             if index.field in self.ciphers:
                 terms = terms.select(crypto.keyword_token(F.col("term"), index.field, self.keys).alias("term"), "_key")
         else:
@@ -171,7 +176,8 @@ class Table:
             return best.select("_key")
         terms = self._terms(index)
         if isinstance(p, P.FullTextMatch):
-            asked = [crypto.keyword_token(F.lit(p.term), index.field, self.keys, v) for v in self.keys.versions] if index.field in self.ciphers else [F.lit(p.term)]
+            term = F.lit(p.term) if index.analyser == "plain" else F.get(text.analyser(index.analyser)(F.lit(p.term)), 0)
+            asked = [crypto.keyword_token(term, index.field, self.keys, v) for v in self.keys.versions] if index.field in self.ciphers else [term]
             hits = terms.where(F.col("term").isin(*asked))
         elif index.field in self.ciphers:
             hits = terms.where(P.on_ciphertext(p, self.ciphers[index.field], F.col("term")))
@@ -180,6 +186,9 @@ class Table:
         hits = hits.select("_key")
         if later is None:
             return hits
+        if isinstance(p, P.FullTextMatch):
+            live = live.where(F.array_contains(text.analyser(index.analyser)(F.col(index.field)), term))
+            return hits.join(touched, "_key", "left_anti").unionByName(live.select("_key"))
         return hits.join(touched, "_key", "left_anti").unionByName(live.where(P.column(p, self.schema, None, self._compared())).select("_key"))
 
     def _compared(self) -> dict[str, tuple[crypto.FieldCipher, str]]:
@@ -251,14 +260,22 @@ class Table:
         storage.rename(self.spark, staged, f"{self.path}/log/batch-{number:012d}")
         return number
 
-    def _keyed(self, rows: DataFrame, scratch: storage.Scratch) -> DataFrame:
+    def _keyed(self, rows: DataFrame, scratch: storage.Scratch, there: bool) -> DataFrame:
+        """A batch, checked: its keys are given, each once, and in the table already or not; one job tells all of it."""
         if "_key" not in rows.columns:
             raise SchemaError("rows need a _key")
         rows = scratch.keep(self.schema.checked(rows.withColumn("_key", F.col("_key").cast(self.key_type))), "batch")
-        if not rows.where(F.col("_key").isNull()).isEmpty():
+        live = versions.newest(self._read().select("_key", "_seq", "_op")).select("_key", F.lit(True).alias("live"))
+        each = rows.groupBy("_key").agg(F.count("*").alias("n")).join(live, "_key", "left")
+        found = each.agg(F.count_if(F.col("_key").isNull()).alias("nulls"), F.count_if(F.col("n") > 1).alias("repeated"), F.count_if("live").alias("live"), F.count("*").alias("keys")).first()
+        if found.nulls:
             raise SchemaError("a key is not null")
-        if not versions.unique_violations(rows, "_key").isEmpty():
+        if found.repeated:
             raise DuplicateKeyError("a batch has a key once")
+        if not there and found.live:
+            raise DuplicateKeyError(f"{self.schema.name}: a key is there already")
+        if there and found.live < found["keys"]:
+            raise KeyNotFoundError(f"{self.schema.name}: a key is not there")
         return rows
 
     def _check_unique(self, rows: DataFrame) -> None:
@@ -289,17 +306,12 @@ class Table:
         """Add rows whose keys must be new."""
         scratch = storage.Scratch(self.spark, "table")
         try:
-            rows = self._keyed(rows, scratch)
-            if not versions.existing_keys(self._live_keys(), rows).isEmpty():
-                raise DuplicateKeyError(f"{self.schema.name}: a key is there already")
+            rows = self._keyed(rows, scratch, False)
             self._check_unique(rows)
             return self._append(rows, versions.PUT)
         finally:
             scratch.clear()
 
-    def _live_keys(self) -> DataFrame:
-        return versions.newest(self._read().select("_key", "_seq", "_op")).select("_key")
-
     def insert(self, rows: DataFrame) -> int:
         """``create`` with the first field, a string that is not null, as the key."""
         first = self.schema.fields[0] if self.schema.fields else None
@@ -313,9 +325,7 @@ class Table:
             raise ValueError(f"unknown mode {mode}")
         scratch = storage.Scratch(self.spark, "table")
         try:
-            rows = self._keyed(rows, scratch)
-            if not versions.missing_keys(self._live_keys(), rows).isEmpty():
-                raise KeyNotFoundError(f"{self.schema.name}: a key is not there")
+            rows = self._keyed(rows, scratch, True)
             if mode == "PATCH":
                 rows = scratch.keep(versions.patch(self.current(), rows), "patch")
             self._check_unique(rows)
@@ -406,5 +416,5 @@ class Table:
         other._write_base(other._stored(self.current(), top, versions.PUT), f"{other.path}/base-{top:012d}")
         storage.write_text(self.spark, f"{other.path}/CURRENT", json.dumps({"base": top}))
         if self.indexes:
-            other._save([other._built(Index(i.field, i.kind, i.metric)) for i in self.indexes])
+            other._save([other._built(replace(i, covers=0, folder=None)) for i in self.indexes])
         return other

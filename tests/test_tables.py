@@ -5,7 +5,8 @@ from stratafold import predicate as P
 from stratafold import storage
 from stratafold.crypto import CryptoError, Keys
 from stratafold.engine import Engine, TableExistsError, TableNotFoundError
-from stratafold.operators import partitioning, versions
+from stratafold.functions import text, vector
+from stratafold.operators import fulltext, partitioning, versions
 from stratafold.schema import BOOLEAN, FLOAT16, FLOAT32, INT16, INT32, INT64, STRING, ArrayOf, BoundedString, Field, ObjectOf, SchemaError, TableSchema, VectorOf
 from stratafold.table import DuplicateKeyError, KeyNotFoundError, Table, UniqueViolationError
 
@@ -275,6 +276,34 @@ def test_indexes_outlive_handles_and_follow_changes(spark):
     engine.get_table("t").create(secret_frame(spark).where("_key = 'k30'").withColumn("_key", F.lit("other")))
 
 
+def test_analysers_of_indexes(spark):
+    """Tokenizers and stemmers of one's own decide what MATCH finds, before and after the index was built."""
+    text.register_analyser("letters", lambda t: F.filter(F.split(F.lower(t), ""), lambda c: c != ""))
+    for name, term, want in (("plain", "runs", {"a", "d"}), ("stemmed", "running", {"a", "b", "d"}), ("letters", "z", {"c"}), ("no stop words", "the", set())):
+        t = Table(spark, storage.workspace(spark, "test-table"), USERS)
+        t.create(frame(spark, ("a", "the runs", 1, None), ("b", "Run!", 1, None), ("c", "zebra", 1, None)))
+        t.create_index("name", "FULL_TEXT", analyser=name)
+        t.create(frame(spark, ("d", "runs late", 1, None)))
+        assert {r._key for r in t.select(P.FullTextMatch("name", term)).collect()} == want
+        t.compact()
+        assert {r._key for r in t.select(P.FullTextMatch("name", term)).collect()} == want
+    with pytest.raises(ValueError):
+        t.create_index("name", "FULL_TEXT", analyser="nope")
+
+
+def test_hot_keys_are_written_by_several_tasks(spark, tmp_path):
+    """Nine tenths of the rows lie in one range, have one term, or are nearest to one centroid: no file holds more than twice the median."""
+    n = 20_000
+    df = spark.range(n).select("id", F.when(F.col("id") % 10 == 0, F.col("id") % 500).otherwise(F.col("id") + 1000).alias("k"), F.when(F.col("id") % 10 == 0, F.concat(F.lit("w"), F.col("id"))).otherwise(F.lit("the")).alias("t"))
+    partitioning.RangePartitions([0, 500, 1000, 10**9]).write(df, "k", str(tmp_path / "r"))
+    fulltext.TextIndex.build(df, "id", "t").write(str(tmp_path / "t"))
+    v = df.select("id", F.when(F.col("id") < 4, F.array(F.lit(1.0), F.col("id").cast("double"))).otherwise(F.array(F.lit(9.0), 0.1 * F.rand(1))).cast("array<float>").alias("v"))
+    vector.InvertedFile(v, "id", "v", "euclidean", 4).write(str(tmp_path / "v"))
+    for place in ("r", "t", "v/lists"):
+        sizes = sorted(r.n for r in spark.read.parquet(str(tmp_path / place)).groupBy(F.spark_partition_id(), F.col("_metadata.file_path")).agg(F.count("*").alias("n")).collect() if r.n > n // 50)
+        assert len(sizes) >= 3 and sizes[-1] <= 2 * sizes[len(sizes) // 2], (place, sizes)
+
+
 def test_newest_wins(spark):
     log = spark.createDataFrame([("a", 1, "P", "x"), ("a", 3, "P", "z"), ("a", 2, "D", None), ("b", 1, "P", "q"), ("b", 2, "D", None), ("c", 5, "P", None)], "_key string, _seq bigint, _op string, v string")
     assert sorted((r._key, r.v) for r in versions.newest(log).collect()) == [("a", "z"), ("c", None)]
