@@ -129,12 +129,6 @@ def q60_scatter_gather(spark: SparkSession, d: str) -> DataFrame:
     return partitioning.gathered(assigned, "partition_id", "o_orderkey", 25).select("o_orderkey", "partition_id")
 
 
-def q61_ordered_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Duplicates over the parts are kept."""
-    o = _orders(spark, d).select("o_orderkey")
-    return partitioning.ordered_merge([o.where("o_orderkey < 500"), o.where("o_orderkey >= 400 AND o_orderkey < 900"), o.where("o_orderkey < 100")], "o_orderkey")
-
-
 def q61_merge_whole(spark: SparkSession, d: str) -> DataFrame:
     """All ranges of the orders, what lies outside them, and the pending orders a second time."""
     o = _ranges().assigned(_orders(spark, d), "o_orderkey")
@@ -340,7 +334,6 @@ CASE WHEN _key IS NULL THEN c_mktsegment ELSE seg END AS c_mktsegment FROM custo
     "q58_prune": f"SELECT {_ROUTE} AS partition_id, count(*) AS n_rows FROM orders WHERE o_orderkey >= 1000 GROUP BY 1",
     "q59_clipped_scan": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 900 AND o_orderkey < 4100",
     "q60_scatter_gather": f"SELECT o_orderkey, {_ROUTE} AS partition_id FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderkey LIMIT 25",
-    "q61_ordered_merge": "SELECT o_orderkey FROM orders WHERE o_orderkey < 500 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey >= 400 AND o_orderkey < 900 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey < 100",
     "q61_merge_whole": "SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'",
     "q62_owners": f"WITH ids AS (SELECT 'orders/' || o_orderkey AS id FROM orders), {_OWNED} SELECT split_part(id, '/', 2)::BIGINT AS o_orderkey, list(node ORDER BY w DESC, node)[1:2] AS owners FROM weights GROUP BY id",
     "q62_reassigned": f"""WITH ids AS (SELECT DISTINCT o_orderkey::VARCHAR AS id FROM orders), {_OWNED}
