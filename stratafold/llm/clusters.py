@@ -5,8 +5,12 @@ error. Inside a block of a cell hash-ordered pivots absorb what is similar to th
 across them, and every block leaves a star of links for each of its groups. The links of all blocks are contracted
 in rounds: in each, every vertex is absorbed by the neighbour first in hash order, until no link is left. Cells with too
 many rows for one block are compared a second time, first by one row of each cluster so far, then across their blocks
-where the clusters still differ, so a group that holds a third of all rows costs no pairs within it. Pairs that
-sketches leave open are decided by the exact vectors. Clusters are described by the members of the greatest mean cosine.
+where the clusters still differ, so a group that holds a third of all rows costs no pairs within it.
+
+Cells only save work: how fine they are follows the number of rows, and a similar pair may share none. So every cluster so far
+is covered by balls around pivots, and all balls of a field are compared, members only where the angle between two pivots
+leaves room for a link between different clusters. No link is left out, whatever the cells. Pairs that sketches leave open
+are decided by the exact vectors. Clusters are described by the members of the greatest mean cosine.
 """
 
 from __future__ import annotations
@@ -20,12 +24,13 @@ from pyspark.sql import functions as F
 
 from stratafold import storage
 from stratafold.llm.polytope import units_of, width_of
-from stratafold.llm.vectors import CHUNK, Cells, chunk_of, chunked, cosines, crowded, grouped, matrix, of_sketches, partitions_for, runs, table_matrix
+from stratafold.llm.vectors import CHUNK, Cells, chunk_of, chunked, cosines, grouped, matrix, of_sketches, partitions_for, runs, sketch_column, table_matrix
 
 THRESHOLD = 0.87
-TABLES, TAIL, PROBES, LOSS = 6, 8, 4, 0.14
 #: Rows that are compared in one task.
 BLOCK = 16_384
+#: Rows of one side where all balls are compared, and the fewest rows of a side and most sides for which smaller ones are cut.
+SIDE, LEAST_SIDE, SIDES = 262_144, 4096, 4
 #: Tables, tail, probes and greatest loss of height, from coarse cells to fine ones. A pair at the threshold misses in all tables
 #: with a probability below 0.0002, simulated for 32, 64 and 128 dimensions.
 FINENESS = ((2, 0, 6, 0.15), (3, 4, 8, 0.15), (4, 16, 8, 0.15), (5, 64, 8, 0.15))
@@ -237,6 +242,167 @@ def _firsts_of_clusters(rows: DataFrame, roots: DataFrame, chunk: int) -> DataFr
     return first.join(many, "cell", "left").select("cell", F.coalesce(chunk_of(F.col("id"), F.col("chunks")), F.lit(0)).alias("chunk"), "id", "sketch")
 
 
+_ROW = "field_no int, id bigint, sketch binary"
+_ROW_ARROW = pa.schema([("field_no", pa.int32()), ("id", pa.int64()), ("sketch", pa.binary())])
+_BALL = "field_no int, id bigint, root bigint, pivot bigint, reach double, sketch binary"
+_BALL_ARROW = pa.schema([("field_no", pa.int32()), ("id", pa.int64()), ("root", pa.int64()), ("pivot", pa.int64()), ("reach", pa.float64()), ("sketch", pa.binary())])
+
+
+def _sketched_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(field_no, id, sketch) of the rows that are not all zero."""
+    for batch in batches:
+        numbers = batch.column("field_no").to_numpy(zero_copy_only=False)
+        for no in np.unique(numbers):
+            part = batch.take(pa.array(np.flatnonzero(numbers == no)))
+            units = units_of(matrix(part.column("vec")))
+            some = np.flatnonzero(units.any(axis=1))
+            take = pa.array(some)
+            yield pa.RecordBatch.from_arrays([part.column("field_no").take(take).cast(pa.int32()), part.column("id").take(take), sketch_column(units[some])], schema=_ROW_ARROW)
+
+
+def _balls(threshold: float):
+    """Covers each cluster so far (a block of it, if it is large) by balls: every row with its ball's pivot and how far that ball reaches."""
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["root", "chunk"]):
+            ids = group.column("id").to_numpy()
+            x, away = of_sketches(group.column("sketch"))
+            pivot, reach = balls_of(ids, x, away, threshold)
+            out = pa.table([group.column("field_no"), group.column("id"), group.column("root"), pa.array(ids[pivot]), pa.array(reach), group.column("sketch")], schema=_BALL_ARROW)
+            yield from out.combine_chunks().to_batches()
+
+    return cover
+
+
+def balls_of(ids: np.ndarray, x: np.ndarray, away: float, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the row of its ball's pivot and the greatest angle between that pivot and a row of the ball, or more.
+
+    ``x`` are approximations at most ``away`` from the unit vectors. Balls stay within 45 degrees, so for thresholds from 0 on no
+    sum of two reaches and the angle of a link exceeds 180.
+    """
+    slack = np.float32(2 * away + away * away + 4e-6)
+    high = np.float32(max(threshold, 0.75))
+    pivot, free = np.arange(len(ids)), np.lexsort((ids, _hash_order(ids)))
+    while len(free):
+        lead = free[:64]
+        near = x[lead] @ x[free].T >= high
+        taken = np.zeros(len(free), dtype=bool)
+        for i, p in enumerate(lead):
+            if not taken[i]:
+                mine = near[i] & ~taken
+                mine[i] = True
+                pivot[free[mine]] = p
+                taken |= mine
+        free = free[~taken]
+    others = pivot != np.arange(len(ids))
+    reach = np.zeros(len(ids))
+    np.maximum.at(reach, pivot[others], _angle((x[others].astype(np.float64) * x[pivot[others]]).sum(axis=1) - slack))
+    return pivot, reach[pivot]
+
+
+def join_balls(ids: np.ndarray, root: np.ndarray, pivot: np.ndarray, reach: np.ndarray, side: np.ndarray, x: np.ndarray, away: float, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (a, b, sure) between the rows of balls of different clusters: of every two balls, if ``side`` is the same for all rows, else
+    of every two of different sides. ``root`` names a row's cluster so far, ``reach`` bounds the angles between its ball's pivot and rows.
+
+    A ball's rows are compared with another ball only if the angle between the pivots leaves room for a link, then, one by one,
+    if the angle between the row and the other pivot does. Two clusters are surely linked once; pairs too close to the threshold to
+    tell are returned as not sure.
+    """
+    order = np.lexsort((ids != pivot, pivot, side))
+    ids, root, pivot, reach, side, x = ids[order], root[order], pivot[order], reach[order], side[order], x[order]
+    slack = np.float32(2 * away + away * away + 1.6e-5)
+    high, low = np.float32(threshold) + slack, np.float32(threshold) - slack
+    widest = float(np.arccos(max(-1.0, threshold - float(slack))))
+    # a ball's first row is its pivot
+    at = np.flatnonzero(np.concatenate(([True], pivot[1:] != pivot[:-1])))
+    ends = np.append(at[1:], len(ids))
+    own, heart, far = root[at], x[at], reach[at]
+    one_side = side[0] == side[-1]
+    left = np.arange(len(at)) if one_side else np.flatnonzero(side[at] == side[0])
+    right = left if one_side else np.arange(len(left), len(at))
+    limit = np.cos(far + widest).astype(np.float32)
+    # x . y - cos(alpha + beta) as one product
+    narrow = np.column_stack((heart[left], -np.cos(far[left]), np.sin(far[left]))).astype(np.float32)
+    wide = np.ascontiguousarray(np.column_stack((heart[right], np.cos(far[right] + widest), np.sin(far[right] + widest))).astype(np.float32).T)
+    a, b, near_a, near_b = [], [], [], []
+    for s in range(0, len(left), 256):
+        begin = s if one_side else 0
+        g, h = np.nonzero(narrow[s : s + 256] @ wide[:, begin:] >= -slack)
+        g, h = left[s + g], right[begin + h]
+        kept = own[g] != own[h]
+        if one_side:
+            kept &= h > g
+        g, h = g[kept], h[kept]
+        for these in np.split(np.arange(len(g)), np.flatnonzero(g[1:] != g[:-1]) + 1) if len(g) else ():
+            p, others = g[these[0]], h[these]
+            others = others[own[others] != own[p]]
+            rows = slice(at[p], ends[p])
+            if len(others) and ends[p] - at[p] > 1:
+                others = others[(x[rows] @ heart[others].T).max(axis=0) + slack >= limit[others]]
+            sizes = ends[others] - at[others]
+            # balls are taken together up to a block of rows
+            cut = np.flatnonzero(np.diff(np.cumsum(sizes) // BLOCK)) + 1
+            for some in np.split(others, cut) if len(others) else ():
+                some = some[own[some] != own[p]]
+                if not len(some):
+                    continue
+                n = ends[some] - at[some]
+                cols = np.repeat(at[some] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                of = np.repeat(some, n)
+                for r in range(at[p], ends[p], 512):
+                    cosine = x[r : min(r + 512, ends[p])] @ x[cols].T
+                    best = cosine.max(axis=0)
+                    for q in np.unique(of[best >= high]):
+                        if own[q] != own[p]:
+                            a.append(own[p])
+                            b.append(own[q])
+                            own[own == own[q]] = own[p]
+                    open_ = np.flatnonzero((best >= low) & (own[of] != own[p]))
+                    if len(open_):
+                        i, j = np.nonzero(cosine[:, open_] >= low)
+                        near_a.append(ids[r + i])
+                        near_b.append(ids[cols[open_[j]]])
+    near_a = np.concatenate(near_a) if near_a else np.empty(0, dtype=np.int64)
+    near_b = np.concatenate(near_b) if near_b else np.empty(0, dtype=np.int64)
+    sure = np.repeat([True, False], [len(a), len(near_a)])
+    return np.concatenate((np.array(a, dtype=np.int64), near_a)), np.concatenate((np.array(b, dtype=np.int64), near_b)), sure
+
+
+def _ball_links(threshold: float):
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["field_no", "x", "y"]):
+            numbers = [group.column(c).to_numpy() for c in ("id", "root", "pivot", "reach", "side")]
+            if group.column("x")[0].as_py() != group.column("y")[0].as_py() and numbers[-1].min() == numbers[-1].max():
+                continue
+            a, b, sure = join_balls(*numbers, *of_sketches(group.column("sketch")), threshold)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sure)], schema=_LINK_ARROW)
+
+    return link
+
+
+def _links_of_all(nodes: DataFrame, roots: DataFrame, counts: dict[int, int], threshold: float, chunk: int, scratch: storage.Scratch) -> DataFrame:
+    """Every link between different clusters so far that joins clusters, from all pairs of balls of a field; see ``join_balls``."""
+    rows = nodes.mapInArrow(_sketched_rows, _ROW)
+    rooted = rows.join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
+    rooted = scratch.keep(rooted.select("field_no", "id", "root", "sketch"), "rooted")
+    linked = rooted.where("root IS NOT NULL")
+    large = scratch.keep(chunked(linked.groupBy(F.col("root").alias("cell")).agg(F.count("*").alias("n")), chunk).withColumnRenamed("cell", "root"), "large")
+    cut = linked.join(large, "root", "left").withColumn("chunk", F.coalesce(chunk_of(F.col("id"), F.col("chunks")), F.lit(0))).drop("chunks")
+    balls = grouped(cut, ["root", "chunk"], partitions_for((rooted, 1))).mapInArrow(_balls(threshold), _BALL)
+    lone = rooted.where("root IS NULL").select("field_no", "id", F.col("id").alias("root"), F.col("id").alias("pivot"), F.lit(0.0).alias("reach"), "sketch")
+    sides = {no: max(-(-n // SIDE), min(SIDES, -(-n // LEAST_SIDE)), 1) for no, n in counts.items()}
+    number = F.lit(1)
+    for no, n in sides.items():
+        number = F.when(F.col("field_no") == no, F.lit(n)).otherwise(number)
+    # whole balls are dealt to sides; each side meets each other one and itself
+    dealt = balls.unionByName(lone).withColumn("sides", number).withColumn("side", F.pmod(F.xxhash64("pivot", F.lit(11)), F.col("sides")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    met = met.select("field_no", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "id", "root", "pivot", "reach", "side", "sketch")
+    n = partitions_for((rooted, max(sides.values(), default=1)))
+    return scratch.keep(grouped(met, ["field_no", "x", "y"], n).mapInArrow(_ball_links(threshold), _LINK), "rest")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose exact cosine reaches the threshold."""
     of = lambda c: nodes.select(F.col("id").alias(c), F.col("vec").alias(f"v{c}"))
@@ -253,10 +419,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "va", "vb").mapInArrow(check, _LINK)
 
 
-def fitting(nodes: DataFrame, dims: dict[str, int]) -> Cells:
-    """Cells fine enough that they hold half a block of rows on average: the more rows, the finer, with as many more tables and
-    probes as keep links from being missed."""
-    counts = {r.field_no: r.n for r in nodes.groupBy("field_no").agg(F.count("*").alias("n")).collect()}
+def fitting(counts: dict[int, int], dims: dict[str, int]) -> Cells:
+    """Cells fine enough that they hold half a block of rows on average: the more rows of a field, the finer, with as many more
+    tables and probes as keep all but few links from being missed."""
     sizes = tuple(dims.values())
     for tables, tail, probes, loss in FINENESS:
         full = [n * probes / (2 * width_of(sizes[no]) * max(1, 2 * tail)) for no, n in counts.items()]
@@ -270,9 +435,11 @@ def components(nodes: DataFrame, dims: dict[str, int], threshold: float = THRESH
 
     ``nodes`` as ``vectors.usable`` gives them. All-zero vectors have cosine 0 with everything and so no links. What is
     shuffled are sketches of a byte for each coordinate; pairs that these leave open are decided by the exact vectors.
+    Cells join most of what is linked; all pairs of balls of clusters are compared for the rest, so no link depends on the cells.
     """
     scratch = storage.Scratch(nodes.sparkSession, "clusters")
-    cells = fitting(nodes, dims)
+    counts = {r.field_no: r.n for r in nodes.groupBy("field_no").agg(F.count("*").alias("n")).collect()}
+    cells = fitting(counts, dims)
     hot = scratch.keep(chunked(cells.sizes(nodes), chunk), "crowded")
     some_hot = not hot.isEmpty()
     rows = cells.sketched(nodes)
@@ -286,8 +453,11 @@ def components(nodes: DataFrame, dims: dict[str, int], threshold: float = THRESH
         roots = _extended(roots, firsts, scratch)
         across = scratch.keep(_hot_links(crowd, roots, threshold, chunk, scratch), "across")
         roots = _extended(roots, across, scratch)
-        links = links.unionByName(firsts).unionByName(across)
-    doubtful = _rooted(_rooted(links.where("NOT sure").select("a", "b").distinct().withColumns({"ra": F.col("a"), "rb": F.col("b")}), roots, "ra"), roots, "rb")
+    # pairs that sketches leave open are among these again, as long as their clusters differ
+    rest = _links_of_all(nodes, roots, counts, threshold, chunk, scratch)
+    if not rest.where("sure").isEmpty():
+        roots = _extended(roots, rest, scratch)
+    doubtful = _rooted(_rooted(rest.where("NOT sure").select("a", "b").distinct().withColumns({"ra": F.col("a"), "rb": F.col("b")}), roots, "ra"), roots, "rb")
     doubtful = scratch.keep(doubtful.where("ra <> rb").select("a", "b"), "doubtful")
     if not doubtful.isEmpty():
         roots = _extended(roots, scratch.keep(_verified(doubtful, nodes, threshold), "verified"), scratch)
@@ -295,105 +465,106 @@ def components(nodes: DataFrame, dims: dict[str, int], threshold: float = THRESH
     return scratch.result(roots.join(least, "root").select("cluster_id", F.col("node").alias("node_id")))
 
 
-_LEAST = "id bigint, rank bigint, least bigint"
-_LEAST_ARROW = pa.schema([("id", pa.int64()), ("rank", pa.int64()), ("least", pa.int64())])
+_RANKED = "field_no int, id bigint, rank bigint, vec array<float>"
 _BEST = "id bigint, cosine double, pivot bigint"
 _BEST_ARROW = pa.schema([("id", pa.int64()), ("cosine", pa.float64()), ("pivot", pa.int64())])
+_ID_ARROW = pa.schema([("id", pa.int64())])
+
+
+def _rank(ids: np.ndarray) -> np.ndarray:
+    return (_hash_order(ids) >> np.uint64(2)).astype(np.int64)
+
+
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rank = pa.array(_rank(batch.column("id").to_numpy()))
+        yield pa.RecordBatch.from_arrays([batch.column("field_no"), batch.column("id"), rank, batch.column("vec")], names=["field_no", "id", "rank", "vec"])
+
+
+def _firsts(ids: np.ndarray, x: np.ndarray, threshold: float) -> np.ndarray:
+    """The rows that in hash order are similar to none of those before them, ordered by id."""
+    free, pivots = np.lexsort((ids, _rank(ids))), []
+    while len(free):
+        near = similar(x[free[:64]], x[free], threshold)
+        taken = np.zeros(len(free), dtype=bool)
+        for i, p in enumerate(free[:64]):
+            if not taken[i]:
+                taken |= near[i]
+                taken[i] = True
+                pivots.append(p)
+        free = free[~taken]
+    pivots = np.array(pivots)
+    return pivots[np.argsort(ids[pivots])]
+
+
+def _closest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the most similar one of ``pivots`` (ties: the first) and their cosine; close calls in double precision."""
+    near = units_of(x) @ units_of(pivots).T
+    rows, cols = np.nonzero(near >= near.max(axis=1, keepdims=True) - _SLACK)
+    cosine = cosines(x[rows], pivots[cols])
+    order = np.lexsort((cols, -cosine, rows))
+    first = order[np.searchsorted(rows[order], np.arange(len(x)))]
+    return cols[first], cosine[first]
 
 
-def _least_neighbours(threshold: float):
-    """For each row of a block the first of itself and the rows similar to it: earlier pivots, then in hash order."""
+def _pivots_among(threshold: float):
+    """The rows of each field that in hash order are similar to none before them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, ["cell", "chunk"]):
-            ids, vec, extra = group.column("id").to_numpy(), table_matrix(group), group.column("extra").to_numpy()
-            for s in range(0, len(ids), 2 * CHUNK):
-                part, x = ids[s : s + 2 * CHUNK], vec[s : s + 2 * CHUNK]
-                rank = _rank(part, extra[s : s + 2 * CHUNK])
-                order = np.lexsort((part, rank))
-                part, x, rank = part[order], x[order], rank[order]
-                near = similar(x, x, threshold)
-                np.fill_diagonal(near, True)
-                first = near.argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(rank[first]), pa.array(part[first])], schema=_LEAST_ARROW)
+        for group in runs(batches, ["field_no"]):
+            yield from group.take(pa.array(_firsts(group.column("id").to_numpy(), table_matrix(group), threshold))).combine_chunks().to_batches()
 
     return run
 
 
-def _blocks_and_sent(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]]:
-    """(ids, vectors, extra) of every block's own rows with, part by part, the rows sent to it; its own rows come first."""
+def _blocks_and_sent(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Table]]:
+    """(ids, vectors) of every block's own rows with, part by part, the rows sent to it; its own rows come first."""
     key, rows, own = None, [], None
     for batch in batches:
-        for part in runs([batch], ["cell", "chunk", "sent"]):
-            at = (part.column("cell")[0].as_py(), part.column("chunk")[0].as_py())
+        for part in runs([batch], ["field_no", "chunk", "sent"]):
+            at = (part.column("field_no")[0].as_py(), part.column("chunk")[0].as_py())
             if not part.column("sent")[0].as_py():
                 key, rows, own = at, [*rows, part] if at == key else [part], None
             elif at == key:
                 if own is None:
                     block = pa.concat_tables(rows)
-                    own = block.column("id").to_numpy(), table_matrix(block), block.column("extra").to_numpy()
+                    own = block.column("id").to_numpy(), table_matrix(block)
                 for s in range(0, part.num_rows, CHUNK):
                     yield *own, part.slice(s, CHUNK)
 
 
-def _rank(ids: np.ndarray, extra: np.ndarray) -> np.ndarray:
-    return (_hash_order(ids) >> np.uint64(2)).astype(np.int64) - (extra.astype(np.int64) << 62)
-
-
-def _least_across(threshold: float):
-    """What ``_least_neighbours`` gives, between a block's rows and those sent to it, where it is not after the row itself."""
+def _taken(threshold: float):
+    """The ids of a block's rows that are similar to one of those sent to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, vec, extra, sent in _blocks_and_sent(batches):
-            others, x = sent.column("id").to_numpy(), table_matrix(sent)
-            ranks, other_ranks = _rank(ids, extra), _rank(others, sent.column("extra").to_numpy())
-            order, other_order = np.lexsort((ids, ranks)), np.lexsort((others, other_ranks))
-            ids, vec, ranks, others, x, other_ranks = ids[order], vec[order], ranks[order], others[other_order], x[other_order], other_ranks[other_order]
+        for ids, vec, sent in _blocks_and_sent(batches):
+            x = table_matrix(sent)
             for s in range(0, len(ids), CHUNK):
-                part = slice(s, s + CHUNK)
-                near = similar(vec[part], x, threshold)
-                for these, their_rank, those, those_rank, met in ((ids[part], ranks[part], others, other_ranks, near), (others, other_ranks, ids[part], ranks[part], near.T)):
-                    first = met.argmax(axis=1)
-                    kept = np.flatnonzero(met.any(axis=1) & (those_rank[first] <= their_rank))
-                    if len(kept):
-                        yield pa.RecordBatch.from_arrays([pa.array(these[kept]), pa.array(those_rank[first[kept]]), pa.array(those[first[kept]])], schema=_LEAST_ARROW)
+                mine = ids[s : s + CHUNK][similar(vec[s : s + CHUNK], x, threshold).any(axis=1)]
+                if len(mine):
+                    yield pa.RecordBatch.from_arrays([pa.array(mine)], schema=_ID_ARROW)
 
     return run
 
 
-def _best_pivots(threshold: float):
-    """For each row of a block the pivot of those sent to it with the greatest cosine, if that is at least the threshold."""
+def _best_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each row of a block the most similar of the pivots sent to it, part by part."""
+    for ids, vec, sent in _blocks_and_sent(batches):
+        pivots = sent.column("id").to_numpy()
+        order = np.argsort(pivots)
+        pivots, x = pivots[order], table_matrix(sent)[order]
+        for s in range(0, len(ids), CHUNK):
+            best, cosine = _closest(vec[s : s + CHUNK], x)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[s : s + CHUNK]), pa.array(cosine), pa.array(pivots[best])], schema=_BEST_ARROW)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, vec, _, sent in _blocks_and_sent(batches):
-            pivots = sent.column("id").to_numpy()
-            order = np.argsort(pivots)
-            pivots, x = pivots[order], table_matrix(sent)[order]
-            unit = units_of(x).T
-            for s in range(0, len(ids), CHUNK):
-                part = slice(s, s + CHUNK)
-                best = (units_of(vec[part]) @ unit).argmax(axis=1)
-                cosine = cosines(vec[part], x[best])
-                kept = np.flatnonzero(cosine >= threshold)
-                if len(kept):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[part][kept]), pa.array(cosine[kept]), pa.array(pivots[best[kept]])], schema=_BEST_ARROW)
 
-    return run
-
-
-def _with_sent(cells: Cells, own: DataFrame, sent: DataFrame, chunks: DataFrame, everywhere: bool) -> DataFrame:
-    """The rows of ``own`` in the blocks of their cells and those of ``sent`` in all blocks of theirs, for ``_blocks_and_sent``.
-
-    ``chunks`` has the number of blocks of the crowded cells; the others are one block each if ``everywhere``, else left out.
-    """
-    how = "left" if everywhere else "inner"
-    number = F.coalesce("chunks", F.lit(1))
-    placed = lambda df, with_vector: cells.placed(df, with_vector).join(chunks, "cell", how)
-    copies = placed(sent, False).agg(F.sum(number)).first()[0] or 0
-    rows = placed(own, True).withColumn("chunk", F.coalesce(chunk_of(F.col("id"), F.col("chunks")), F.lit(0))).withColumn("sent", F.lit(False))
-    asked = placed(sent, True).withColumn("chunk", F.explode(F.sequence(F.lit(0), number - 1))).withColumn("sent", F.lit(True))
-    n = partitions_for((own, TABLES * PROBES), (sent, copies / max(1, sent.count())))
-    return rows.unionByName(asked).drop("chunks").repartition(n, "cell", "chunk").sortWithinPartitions("cell", "chunk", "sent")
+def _with_sent(own: DataFrame, sent: DataFrame) -> DataFrame:
+    """The rows of ``own`` in blocks and those of ``sent`` in all blocks of their fields, for ``_blocks_and_sent``."""
+    blocks = max(-(-own.count() // BLOCK), int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = own.select("field_no", "id", "vec").withColumn("chunk", chunk_of(F.col("id"), F.lit(blocks))).withColumn("sent", F.lit(False))
+    asked = sent.select("field_no", "id", "vec").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("sent", F.lit(True))
+    n = partitions_for((own, 1), (sent, blocks))
+    return rows.unionByName(asked).repartition(n, "field_no", "chunk").sortWithinPartitions("field_no", "chunk", "sent")
 
 
 _STAR = "cluster_id bigint, node_id bigint"
@@ -401,24 +572,11 @@ _STAR_ARROW = pa.schema([("cluster_id", pa.int64()), ("node_id", pa.int64())])
 
 
 def pivots_of(ids: np.ndarray, x: np.ndarray, threshold: float) -> np.ndarray:
-    """The pivot of each row: in hash order every free row becomes one and absorbs the free rows similar to it, which leaves the pivots
-    that rounds of local minima do; then each row goes to the most similar pivot (ties: the smaller id)."""
-    order = np.lexsort((ids, _rank(ids, np.zeros(len(ids)))))
-    free, pivots = order, []
-    while len(free):
-        near = similar(x[free[:64]], x[free], threshold)
-        taken = np.zeros(len(free), dtype=bool)
-        for i, p in enumerate(free[:64]):
-            if not taken[i]:
-                taken |= near[i]
-                taken[i] = True
-                pivots.append(p)
-        free = free[~taken]
-    pivots = np.array(pivots)
-    pivots = pivots[np.argsort(ids[pivots])]
-    unit, out = units_of(x[pivots]).T, np.empty(len(ids), dtype=np.int64)
+    """The pivot of each row: in hash order every free row becomes one and absorbs the free rows similar to it; then each row goes
+    to the most similar pivot (ties: the smaller id)."""
+    pivots, out = _firsts(ids, x, threshold), np.empty(len(ids), dtype=np.int64)
     for s in range(0, len(ids), 512):
-        out[s : s + 512] = ids[pivots[(units_of(x[s : s + 512]) @ unit).argmax(axis=1)]]
+        out[s : s + 512] = ids[pivots[_closest(x[s : s + 512], x[pivots])[0]]]
     out[pivots] = ids[pivots]
     return out
 
@@ -455,58 +613,42 @@ def pivot_clusters(nodes: DataFrame, dims: dict[str, int], threshold: float = TH
     rounds = None
     if some_large:
         crowd = scratch.keep(nodes.join(of.join(large, "cluster_id", "left_semi").select("id"), "id", "left_semi").select(*nodes.columns), "crowd")
-        rounds = pivot_rounds(crowd, dims, threshold, min(chunk, CHUNK))
+        rounds = pivot_rounds(crowd, dims, threshold, chunk)
         found = found.unionByName(rounds)
     out = scratch.result(found)
     storage.drop(members, *([rounds] if rounds is not None else []))
     return out
 
 
-def pivot_rounds(nodes: DataFrame, dims: dict[str, int], threshold: float = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
-    """What ``pivot_clusters`` gives, by rounds over the cells of all nodes.
+def pivot_rounds(nodes: DataFrame, dims: dict[str, int], threshold: float = THRESHOLD, chunk: int = BLOCK) -> DataFrame:
+    """What ``pivot_clusters`` gives, for components of any size.
 
-    In each round the active nodes that are the first in hash order among their similar active nodes become pivots; a node
-    is absorbed by a pivot of an earlier round that it is similar to, or by the first of its similar nodes where that is a pivot
-    now; the others go on. At last every node moves to the most similar pivot that it meets in its cells. All members are
-    similar to their pivot. In crowded cells the firsts of the blocks, and at last the pivots, are sent to all blocks, so the
-    pivots do not depend on the blocks: two of them may be similar only if no cell held both.
+    In each round the first ``chunk`` free nodes in hash order are taken. Since no earlier pivot is similar to a free node, their
+    pivots are those that one task finds among them alone; the free nodes similar to these are absorbed. At last every node is
+    compared with all pivots of its field. Nothing depends on the rounds or blocks.
     """
     scratch = storage.Scratch(nodes.sparkSession, "clusters-pivots")
-    cells = Cells(tuple(dims.values()), TABLES, TAIL, PROBES, LOSS)
-    nodes = nodes.where(F.exists("vec", lambda x: x != 0)).select("id", "field_no", F.lit(0).alias("extra"), "vec")
-    n = partitions_for((nodes, TABLES * PROBES))
-
-    active, pivots, assigned = nodes, nodes.limit(0), []
-    while not active.isEmpty():
-        both = active.unionByName(pivots)
-        # the pivots of a crowded cell are sent to its blocks, which hold its active nodes only
-        counts = cells.placed(both, with_vector=False).groupBy("cell").agg(F.count("*").alias("n"), F.count_if(F.col("extra") == 0).alias("active"))
-        hot = scratch.keep(counts.where(F.col("n") > chunk).select("cell", F.ceil(F.col("active") / chunk).cast("int").alias("chunks")), "crowded")
-        placed = cells.placed(both).join(hot, "cell", "left").where(F.col("chunks").isNull() | (F.col("extra") == 0))
-        blocks = grouped(placed.withColumn("chunk", F.coalesce(chunk_of(F.col("id"), F.col("chunks")), F.lit(0))).drop("chunks"), ["cell", "chunk"], n)
-        first = lambda met: met.groupBy("id").agg(F.min(F.struct("rank", "least")).alias("m")).select("id", "m.rank", F.col("m.least").alias("least"))
-        met = scratch.keep(first(blocks.mapInArrow(_least_neighbours(threshold), _LEAST)), "met")
-        if not hot.isEmpty():
-            firsts = active.join(met.where("id = least").select("id"), "id", "left_semi").select(*nodes.columns)
-            sent = scratch.keep(firsts.unionByName(pivots), "sent")
-            met = first(met.unionByName(_with_sent(cells, active, sent, hot.where("chunks > 0"), False).mapInArrow(_least_across(threshold), _LEAST)))
-        least = scratch.keep(active.select("id").join(met.select("id", F.col("least").alias("pivot")), "id"), "least")
-        new = active.join(least.where("id = pivot").select("id"), "id", "left_semi").withColumn("extra", F.lit(1))
-        pivots = scratch.keep(pivots.unionByName(new.select(*pivots.columns)), "pivots")
-        taken = scratch.keep(least.join(pivots.select(F.col("id").alias("pivot")), "pivot", "left_semi").select("id", "pivot"), "taken")
-        assigned.append(taken)
-        active = scratch.keep(active.join(taken.select("id"), "id", "left_anti").select(*nodes.columns), "active")
-    if not assigned:
+    nodes = nodes.where(F.exists("vec", lambda x: x != 0)).select("id", "field_no", "vec")
+    every = scratch.keep(nodes.mapInArrow(_ranked, _RANKED), "ranked")
+    free, rounds = every, []
+    while not free.isEmpty():
+        lead = scratch.keep(free.orderBy("rank", "id").limit(chunk), "lead")
+        last = lead.agg(F.max(F.struct("rank", "id")).alias("m")).first().m
+        new = scratch.keep(grouped(lead, ["field_no"], max(1, len(dims))).mapInArrow(_pivots_among(threshold), _RANKED), "pivots")
+        rounds.append(new)
+        later = free.where((F.col("rank") > last.rank) | ((F.col("rank") == last.rank) & (F.col("id") > last.id)))
+        taken = scratch.keep(_with_sent(later, new).mapInArrow(_taken(threshold), "id bigint").distinct(), "taken")
+        free = scratch.keep(later.join(taken, "id", "left_anti").select(*every.columns), "free")
+    if not rounds:
         return scratch.result(nodes.sparkSession.createDataFrame([], _STAR))
-    first = assigned[0]
-    for later in assigned[1:]:
-        first = first.unionByName(later)
-    others = scratch.keep(nodes.join(pivots.select("id"), "id", "left_anti").select(*nodes.columns), "others")
-    hot = scratch.keep(crowded(cells.placed(others, with_vector=False), chunk), "crowded")
-    met = _with_sent(cells, others, pivots, hot, True).mapInArrow(_best_pivots(threshold), _BEST)
-    best = met.groupBy("id").agg(F.max(F.struct("cosine", (-F.col("pivot")).alias("p"))).alias("b"))
-    moved = first.join(best, "id", "left").select(F.coalesce(-F.col("b.p"), F.col("pivot")).alias("cluster_id"), F.col("id").alias("node_id"))
-    return scratch.result(moved)
+    pivots = rounds[0]
+    for some in rounds[1:]:
+        pivots = pivots.unionByName(some)
+    pivots = scratch.keep(pivots, "all-pivots")
+    others = scratch.keep(every.join(pivots.select("id"), "id", "left_anti").select(*every.columns), "others")
+    best = _with_sent(others, pivots).mapInArrow(_best_pivots, _BEST).groupBy("id").agg(F.max(F.struct("cosine", (-F.col("pivot")).alias("p"))).alias("b"))
+    own = pivots.select(F.col("id").alias("cluster_id"), F.col("id").alias("node_id"))
+    return scratch.result(own.unionByName(best.select((-F.col("b.p")).alias("cluster_id"), F.col("id").alias("node_id"))))
 
 
 _PART = "cluster_id bigint, members bigint, total array<double>"

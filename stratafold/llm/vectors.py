@@ -105,10 +105,7 @@ class Cells:
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, units, row, cell in each(batches):
-                rows = sketches(units)[row]
-                offsets = pa.py_buffer((np.arange(len(rows) + 1) * rows.shape[1]).astype(np.int32).tobytes())
-                listed = pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(rows.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(cell), part.column("id").take(pa.array(row)), listed], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), part.column("id").take(pa.array(row)), sketch_column(units, row)], schema=arrow)
 
         return vectors.mapInArrow(place, "cell bigint, id bigint, sketch binary")
 
@@ -134,6 +131,13 @@ def sketches(units: np.ndarray) -> np.ndarray:
     return np.concatenate((np.stack((step, away.astype(np.float32)), axis=1).view(np.uint8), whole.view(np.uint8)), axis=1)
 
 
+def sketch_column(units: np.ndarray, row: np.ndarray | None = None) -> pa.Array:
+    """The ``sketches`` of unit vectors as a column, or of those of the given rows."""
+    rows = sketches(units) if row is None else sketches(units)[row]
+    offsets = pa.py_buffer((np.arange(len(rows) + 1) * rows.shape[1]).astype(np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(rows.tobytes())])
+
+
 def of_sketches(column: pa.ChunkedArray) -> tuple[np.ndarray, float]:
     """The vectors that sketches of equal lengths stand for, and the greatest distance of one from its unit vector."""
     listed = column.combine_chunks()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stratafold.llm import clusters, nearest
 from stratafold.llm.polytope import CrossPolytope, hadamard, units_of
-from stratafold.llm.vectors import of_sketches, sketches
+from stratafold.llm.vectors import Cells, of_sketches, sketches
 
 NODES = "node_id bigint, field_name string, node_vector array<float>, removed boolean, written_at timestamp"
 QUERIES = "query_id bigint, field_name string, query_vector array<float>, top_k int, asked_at timestamp"
@@ -167,6 +167,69 @@ def test_pairs_at_the_threshold(spark):
     assert {(r.cluster_id, r.node_id) for r in clusters.components(nodes, dims).collect()} == want
 
 
+def lonely_pairs(fineness, count=120_000):
+    """Pairs just above the threshold that share no cell of this fineness."""
+    r = np.random.default_rng(1)
+    x = units_of(r.normal(size=(count, 16))).astype(np.float64)
+    z = r.normal(size=x.shape)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = 0.8705 * x + np.sqrt(1 - 0.8705**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    tables, tail, probes, loss = fineness
+    cells, met = Cells((16,), tables, tail, probes, loss).hashes()[0], np.zeros(count, dtype=bool)
+    for table in range(tables):
+        (a, lost), (b, more) = (cells.probe(units_of(v), table, probes) for v in (x, y))
+        met |= (np.where(lost <= loss, a, -1)[:, :, None] == np.where(more <= loss, b, -2)[:, None, :]).any(axis=(1, 2))
+    return [(x[i], y[i]) for i in np.flatnonzero(~met)]
+
+
+@pytest.mark.parametrize("block", [clusters.BLOCK, 1])
+def test_links_do_not_depend_on_cells(spark, monkeypatch, block):
+    """Pairs without a common cell are linked, in the coarse cells of small inputs and in the finest ones, which large inputs have."""
+    monkeypatch.setattr(clusters, "BLOCK", block)
+    monkeypatch.setattr(clusters, "LEAST_SIDE", 40)
+    used = clusters.FINENESS[0 if block > 1 else -1]
+    pairs = lonely_pairs(used)
+    assert pairs
+    rows = [(n, "a", v.astype(np.float32)) for n, v in enumerate((v for pair in pairs for v in pair), 1)] + [(n + 1000, f, v) for n, f, v in sample(9)]
+    nodes, dims = nearest.load_nodes(node_frame(spark, rows, []), fields(spark))
+    cells = clusters.fitting({r.field_no: r["count"] for r in nodes.groupBy("field_no").count().collect()}, dims)
+    assert (cells.tables, cells.tail, cells.probes, cells.loss) == used
+    assert {(r.cluster_id, r.node_id) for r in clusters.components(nodes, dims).collect()} == brute_clusters(rows)
+
+
+@pytest.mark.parametrize("spread", [0.05, 0.3, 0.5, 0.8])
+@pytest.mark.parametrize("sides", [1, 2])
+def test_balls_are_joined_as_all_pairs_do(spread, sides):
+    """Balls of clusters that were not joined to the end are, by sure links and verified doubtful ones."""
+    r = np.random.default_rng(int(100 * spread))
+    centres = r.normal(size=(9, 24))
+    x = units_of(np.repeat(centres, 40, axis=0) + spread * r.normal(size=(360, 24)) * r.uniform(0.2, 1.6, size=(360, 1)))
+    ids = r.permutation(10_000)[:360]
+    kept, away = of_sketches(pa.chunked_array([pa.array([row.tobytes() for row in sketches(x)], type=pa.binary())]))
+    exact = x.astype(np.float64) @ x.T.astype(np.float64)
+    # clusters so far: what the links of one row in three give
+    some = np.flatnonzero(np.arange(360) % 3 == 0)
+    known = [(int(ids[i]), int(ids[j])) for i in some for j in some if i < j and exact[i, j] >= 0.87]
+    root = ids.copy()
+    for group in sets_of(known):
+        root[np.isin(ids, list(group))] = min(group)
+    pivot, reach = ids.copy(), np.zeros(360)
+    for one in np.unique(root):
+        rows = np.flatnonzero(root == one)
+        at, far = clusters.balls_of(ids[rows], kept[rows], away, 0.87)
+        pivot[rows], reach[rows] = ids[rows[at]], far
+    of = {int(n): i for i, n in enumerate(ids)}
+    assert all(np.arccos(min(1, exact[i, of[int(p)]])) <= f + 1e-3 for i, (p, f) in enumerate(zip(pivot, reach, strict=True)))
+    side = pivot % sides
+    found = list(known)
+    for parts in [[0]] if sides == 1 else [[0], [1], [0, 1]]:
+        rows = np.flatnonzero(np.isin(side, parts))
+        a, b, sure = clusters.join_balls(ids[rows], root[rows], pivot[rows], reach[rows], side[rows], kept[rows], away, 0.87)
+        found += [(p, q) for p, q, s in zip(a.tolist(), b.tolist(), sure.tolist(), strict=True) if s or exact[of[p], of[q]] >= 0.87]
+    close = np.argwhere(np.triu(exact >= 0.87, 1))
+    assert sets_of(found) == sets_of([(int(ids[i]), int(ids[j])) for i, j in close])
+
+
 def test_chain_is_one_cluster(spark):
     """Neighbours are similar, the ends are opposite."""
     turn = np.arccos(0.9)
@@ -222,6 +285,17 @@ def test_pivots_do_not_depend_on_blocks(spark):
     assert set(cut.values()) == set(whole.values()) and cut == whole
 
 
+def test_pivots_do_not_depend_on_cells(spark):
+    """Components beyond a block, dealt with in rounds, give what one task does, also for similar nodes without a common cell."""
+    pairs = lonely_pairs((6, 8, 4, 0.14))
+    assert pairs
+    rows = [(n, "a", v.astype(np.float32)) for n, v in enumerate((v for pair in pairs for v in pair), 1)] + [(n + 1000, f, v) for n, f, v in sample(9)]
+    nodes, dims = nearest.load_nodes(node_frame(spark, rows, []), fields(spark))
+    whole = {r.node_id: r.cluster_id for r in clusters.pivot_clusters(nodes, dims).collect()}
+    assert all(whole[2 * n + 1] == whole[2 * n + 2] for n in range(len(pairs)))
+    assert whole == {r.node_id: r.cluster_id for r in clusters.pivot_rounds(nodes, dims, chunk=100).collect()}
+
+
 def test_description(spark):
     rows = [(1, "b", np.array([1.0, 0, 0, 0, 0])), (2, "b", np.array([1.0, 0.2, 0, 0, 0])), (3, "b", np.array([2.0, 0.8, 0, 0, 0])), (9, "b", np.array([0, 0, 0, 0, 1.0]))]
     nodes, dims = nearest.load_nodes(node_frame(spark, rows, []), fields(spark))
